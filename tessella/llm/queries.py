@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import byte_bpe, packing, token_store
+from tessella.llm import byte_bpe, packing, quality, token_store
 
 QUERIES = {
+    "op1_quality_cascade": quality.op1_quality_cascade,
     "op3_sum_of_squares": packing.op3_sum_of_squares,
     "op8_merge_replay": byte_bpe.op8_merge_replay,
     "op9_plane_files": token_store.op9_plane_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality_cascade": quality.OP1_SQL}
