@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import byte_bpe, packing, quality, token_store
+from tessella.llm import byte_bpe, packing, quality, token_store, warc
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
+    "op2_segmented_warc": warc.op2_segmented_warc,
     "op3_sum_of_squares": packing.op3_sum_of_squares,
     "op8_merge_replay": byte_bpe.op8_merge_replay,
     "op9_plane_files": token_store.op9_plane_files,

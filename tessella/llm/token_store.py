@@ -95,10 +95,11 @@ class PlaneReader:
     def __init__(self, file):
         self.file, self.unzip = file, zstandard.ZstdDecompressor()
         size = file.size()
-        at, crc, magic = struct.unpack("<QI4s", self.read(size - 16, 16))
-        index = self.read(at, size - 16 - at)
+        at, crc, magic = struct.unpack("<QI4s", self.read(max(0, size - 16), 16).rjust(16, b"\0"))
         head = self.read(0, 12)
-        if magic != MAGIC or head[:4] != MAGIC or zlib.crc32(index) != crc:
+        sound = magic == MAGIC and head[:4] == MAGIC and at <= size - 16
+        index = self.read(at, size - 16 - at) if sound else b""
+        if not sound or zlib.crc32(index) != crc:
             raise ValueError("not a plane file, or its index is damaged")
         self.kind, (self.block,) = "bit" if head[5] else "byte", struct.unpack("<I", head[8:])
         a = np.frombuffer(self.unzip.decompress(index), "<i8")
