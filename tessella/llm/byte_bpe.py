@@ -34,18 +34,13 @@ class MergeReplay:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[int, int] = {}
-        sizes = np.zeros(max(self.bytes_of) + 1, np.int64)
-        for k, v in self.bytes_of.items():
-            sizes[k] = len(v)
-        self.sizes, self.begins = sizes, np.cumsum(sizes) - sizes
-        self.joined = np.frombuffer(b"".join(self.bytes_of.get(k, b"") for k in range(len(sizes))), np.uint8)
 
     def rank(self, a: int, b: int) -> int:
         """The rank of two symbols' joint bytes, or -1."""
         key = a << 32 | b
         got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             got = self.pairs[key] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
         return got
@@ -114,7 +109,18 @@ class MergeReplay:
         out[where] = symbols[kept]
         return out, count
 
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+class Decoder:
+    """Bytes of ids by gathering from the joined bytes of the vocabulary."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        words = {v: k for k, v in ranks.items()}
+        vocabulary = [words.get(k, b"") for k in range(max(words) + 1)]
+        self.sizes = np.array([len(w) for w in vocabulary], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.joined = np.frombuffer(b"".join(vocabulary), np.uint8)
+
+    def __call__(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of flat ids and the documents' offsets among them."""
         sizes = self.sizes[ids]
         total = np.concatenate([[0], np.cumsum(sizes)])
@@ -128,9 +134,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def encoder(path: str) -> tuple[Encoder, MergeReplay]:
+def encoder(path: str) -> Encoder:
     replay = MergeReplay(read_ranks(path))
-    return Encoder(lambda words: replay.replay([w.encode("utf-8", "surrogatepass") for w in words])), replay
+    return Encoder(lambda words: replay.replay([w.encode("utf-8", "surrogatepass") for w in words]), most_words=600_000)
+
+
+@functools.cache
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
 
 
 def encode(df: DataFrame, ranks: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,7 +149,7 @@ def encode(df: DataFrame, ranks: str, *, id_col: str = "doc_id", text_col: str =
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply, _ = encoder(ranks)
+        apply = encoder(ranks)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, offsets = apply(*string_buffers(part.column("text")))
@@ -154,11 +165,11 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, replay = encoder(ranks)
+        apply = decoder(ranks)
         for batch in batches:
-            for part in slices(batch, "ids", 8 << 20):
+            for part in slices(batch, "ids"):
                 offsets, raw = string_buffers(part.column("ids"))
-                data, ends = replay.decode(np.frombuffer(raw.tobytes(), "<u4"), offsets // 4)
+                data, ends = apply(np.frombuffer(raw.tobytes(), "<u4"), offsets // 4)
                 data, ends = data.tobytes(), ends.tolist()
                 texts = [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])

@@ -15,8 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows of an Arrow batch, where the session leaves Spark's default: texts are long, and a batch is held in whole.
+BATCH_ROWS = 512
+
+
 def ship(spark: SparkSession) -> None:
-    """Python workers find this package where the driver found it, when they share its machine."""
+    """Python workers find this package where the driver found it, when they share its machine; batches are small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
@@ -71,7 +77,7 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20):
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20):
     """Row ranges of a batch with about most_bytes of text each; a longer text is a range of its own."""
     if not batch.num_rows:
         return
