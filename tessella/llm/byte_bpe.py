@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -177,10 +176,6 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     return encoded.mapInArrow(run, "id long, n_tokens long, ids binary, decoded binary")
 
 
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def op8_merge_replay(spark, sf_dir: str) -> DataFrame:
     ranks = tokenizer_path("byte_bpe_50k.tiktoken")
     rows = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks), ranks)

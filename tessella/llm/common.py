@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import gc
 import os
-import sys
 import tempfile
 import uuid
 from pathlib import Path
@@ -57,8 +57,10 @@ class Stage:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    return Stage(df).df
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of finished plans now: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +111,3 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def run_quietly() -> None:
-    sys.setrecursionlimit(10_000)
