@@ -60,9 +60,9 @@ def sketches(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     return rows.mapInArrow(run, "id long, n_shingles long, set_key binary, signature binary")
 
 
-def signatures(column: pa.Array) -> np.ndarray:
+def signatures(column: pa.Array, symbols: int = SYMBOLS) -> np.ndarray:
     _, raw = string_buffers(column)
-    return np.frombuffer(raw.tobytes(), np.uint32).reshape(-1, SYMBOLS)
+    return np.frombuffer(raw.tobytes(), np.uint32).reshape(-1, symbols)
 
 
 def chunk_keys(signs: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
@@ -153,7 +153,7 @@ def star(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(hubs, "key").where("component <> hub").select("a", F.col("node").alias("b")).distinct()
 
 
-def across(index: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def across(index: DataFrame, labels: DataFrame, nodes: DataFrame, *, symbols: int = SYMBOLS, far: int = FAR, percent: int = PERCENT) -> DataFrame:
     """Pairs a, b of different components that share a bucket and whose signatures are near, found block by block."""
     rows = labelled(index, labels)
     several = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
@@ -169,16 +169,16 @@ def across(index: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
         left = group[group["block"] == i]
         right = left if i == j else group[group["block"] == j]
         found = []
-        signs = [np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(-1, SYMBOLS) for x in (left, right)]
+        signs = [np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(-1, symbols) for x in (left, right)]
         node, other = left["node"].to_numpy(), right["node"].to_numpy()
         own, theirs = left["component"].to_numpy(), right["component"].to_numpy()
         size, sizes = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
         for k in range(len(node)):
-            fit = (own[k] != theirs) & (100 * np.minimum(size[k], sizes) >= PERCENT * np.maximum(size[k], sizes))
+            fit = (own[k] != theirs) & (100 * np.minimum(size[k], sizes) >= percent * np.maximum(size[k], sizes))
             if i == j:
                 fit[: k + 1] = False
             at = np.flatnonzero(fit)
-            at = at[(signs[1][at] != signs[0][k]).sum(1) <= FAR]
+            at = at[(signs[1][at] != signs[0][k]).sum(1) <= far]
             found += [(min(node[k], x), max(node[k], x)) for x in other[at].tolist()]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import byte_bpe, language, media, neardup, packing, quality, substrings, token_store, warc
+from tessella.llm import byte_bpe, language, lines, media, neardup, packing, quality, substrings, token_store, warc
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_multi_index": neardup.op7_multi_index,
     "op8_merge_replay": byte_bpe.op8_merge_replay,
     "op9_plane_files": token_store.op9_plane_files,
+    "op10_fuzzy_lines": lines.op10_fuzzy_lines,
 }
 ORACLE_SQL: dict[str, str] = {"op1_quality_cascade": quality.OP1_SQL}
