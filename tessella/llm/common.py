@@ -10,7 +10,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -63,6 +64,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def others(df: DataFrame, text_col: str) -> Column:
+    """A struct of all columns but the text, so that a text passes a Python operator once."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col])
+
+
+def with_text(rows: DataFrame, names: list[str], text_col: str, text: str) -> DataFrame:
+    """The columns `names` again, from struct _row and the column `text`."""
+    return rows.select(*[F.col(text).alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names])
+
+
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64, rows + 1, from 0) and the bytes of a string or binary column; null rows are empty."""
     if isinstance(col, pa.ChunkedArray):

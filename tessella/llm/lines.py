@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Stage, release, ship, slices, string_buffers
+from tessella.llm.common import Stage, others, release, ship, slices, string_buffers
 from tessella.llm.components import components
 from tessella.llm.neardup import across, star
 from tessella.llm.shingles import linked, minhash, mixed
@@ -202,11 +202,11 @@ def rest_of(text: bytes, known: list[dict]) -> tuple[bytes, int, int]:
 
 
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Struct `_row` with the input's columns, `_text` (string) with the lines that stay, n_lines and n_lost, for every row."""
+    """Struct `_row` with the input's other columns, `_text` with the lines that stay, n_lines and n_lost, for every row."""
     ship(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).where("doc is not null and text is not null")
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
-    rows = rows.join(decisions(docs), "doc", "left").select("_row", F.col("_row")[text_col].alias("text"), "lines")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), others(df, text_col).alias("_row"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.join(decisions(docs), "doc", "left").select("_row", "text", "lines")
     kind = rows.schema["_row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

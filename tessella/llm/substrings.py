@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Stage, release, ship, slices, string_buffers
+from tessella.llm.common import Stage, others, release, ship, slices, string_buffers
 from tessella.llm.shingles import mixed, size_class
 from tessella.llm.words import INVERSE, MULT, powers
 
@@ -221,12 +221,15 @@ def covered_bytes(text: np.ndarray, gone_blocks: np.ndarray, gone_windows: np.nd
     return np.cumsum(mark[:-1]) > 0
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per row: id, n_bytes, n_removed, n_spans, kept (binary)."""
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """One row per row: struct `_row` with the input's other columns, n_bytes, n_removed, n_spans, kept (binary).
+
+    as_text: kept is a string without the characters that a removal has cut in two, and null where the text is.
+    """
     spark = df.sparkSession
     ship(spark)
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    docs = rows.where("doc is not null and text is not null")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), others(df, text_col).alias("_row"), F.col(f"`{text_col}`").alias("text"))
+    docs = rows.where("doc is not null and text is not null").select("doc", "text")
     shared = Stage(first_documents(anchor_rows(docs, length), "rank", drop_unique=True)).df
     release(spark)
     ranked = first_documents(shared.withColumnRenamed("first", "rank_first"), "block", drop_unique=False)
@@ -251,12 +254,20 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     lost.append(int(out.sum()))
                     spans.append(int(np.count_nonzero(out[1:] & ~out[:-1])) + int(len(out) and out[0]))
                     kept.append(text[~out].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc"), *(pa.array(x, pa.int64()) for x in (size, lost, spans)), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), *(pa.array(x, pa.int64()) for x in (size, lost, spans)), kept_column(part, kept)], ["_row", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    def kept_column(part: pa.RecordBatch, kept: list[bytes]) -> pa.Array:
+        if not as_text:
+            return pa.array(kept, pa.binary())
+        there = part.column("text").is_valid().to_pylist()
+        return pa.array([k.decode("utf-8", "ignore") if t else None for k, t in zip(kept, there, strict=True)], pa.string())
 
-    return rows.join(gone, "doc", "left").select("doc", "text", "gone_blocks", "gone_windows").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kind = rows.schema["_row"].dataType.simpleString()
+    rows = rows.join(gone, "doc", "left").select("_row", "text", "gone_blocks", "gone_windows")
+    return rows.mapInArrow(run, f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 
 def op6_prefix_doubling(spark, sf_dir: str) -> DataFrame:
-    rows = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    rows = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return rows.select(F.col("_row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from tessella.llm import lines
+from tessella.llm.common import with_text
 
 
 def brute(rows):
@@ -74,7 +75,7 @@ def test_against_brute_force(spark, seed):
     df = spark.createDataFrame([(*r, 5, "d") for r in rows], "doc_id long, text string, node int, `lines` string").repartition(4)
     out = lines.dedup_lines(df)
     assert sorted(((r._row.doc_id, r._text) for r in out.collect()), key=str) == brute(rows)
-    assert out.select("_row.*").schema == df.schema
+    assert with_text(out, df.columns, "text", "_text").schema == df.schema
 
 
 def test_ids_and_empty_tables(spark):

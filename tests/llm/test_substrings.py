@@ -30,7 +30,7 @@ def brute(rows, length=50):
 
 
 def result(df, **options):
-    return sorted(((r.id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in substrings.remove_repeats(df, **options).collect()), key=str)
+    return sorted(((r._row.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in substrings.remove_repeats(df, **options).collect()), key=str)
 
 
 def made_up(seed):
