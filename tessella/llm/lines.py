@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Stage, others, release, ship, slices, string_buffers
-from tessella.llm.components import components
-from tessella.llm.neardup import across, star
+from tessella.llm.neardup import across, connect
 from tessella.llm.shingles import linked, minhash, mixed
 from tessella.llm.substrings import first_documents
 from tessella.llm.words import random_codes
@@ -69,6 +68,10 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
     return (key & ~np.uint64(BANDS - 1) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def all_keys(signs: np.ndarray) -> np.ndarray:
+    return np.stack([band_keys(s) for s in signs]) if len(signs) else np.zeros((0, BANDS), np.int64)
+
+
 def lines_of(part: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
     offsets, data = string_buffers(part.column("text"))
     raw, ends = data.tobytes(), offsets.tolist()
@@ -144,14 +147,8 @@ def line_components(docs: DataFrame) -> DataFrame:
     nodes = Stage(node_table(docs, index.select("node").distinct())).df
     release(spark)
     first = index.where((F.col("key").bitwiseAND(F.lit(BANDS - 1))) < FIRST_BANDS)
-    links, labels = None, None
-    for found in (lambda: star(first, None), lambda: star(index, labels), lambda: across(index, labels, nodes, symbols=SYMBOLS, far=FAR, percent=PERCENT)):
-        fresh = verified(found(), nodes)
-        if links is not None:
-            fresh = fresh.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        links = Stage(fresh).df
-        labels = components(links).df
-    return labels
+    full = nodes.withColumnRenamed("line", "content")
+    return connect(first, index, lambda pairs: verified(pairs, nodes), lambda labels: across(index, labels, full, all_keys, shingles, symbols=SYMBOLS, far=FAR, percent=PERCENT))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ others are decided on the full sets.
 Only the links' components are wanted, so pairs already connected needn't be decided:
   1. equal sets are one node; a first star (all members of a bucket against its smallest) over the first chunks
      connects most members of large groups;
-  2. a star over all keys, between one member of each component in a bucket;
-  3. in buckets that still hold several components, every pair of members of different components. These are compared by
-     signature in blocks of BLOCK members, inside tasks; only pairs near enough are emitted.
-So no link between different components is left undecided, and large groups never emit all their pairs.
+  2. a star over all keys, between one member of each component in a bucket, and one from the members of most links;
+  3. in buckets that still hold several components, every pair of members of different components is decided inside a
+     task, in blocks of BLOCK members, by sizes, signatures and then full sets; only links that join components come out.
+So no link between different components is left undecided, and no stage emits the pairs of a group.
 
 Defined results: a null text or one without words has no shingles, no links and its own id as component; rows with equal
 doc_id and text stay and share their result; an id in several rows with different texts links them; a null id is never
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Stage, ship, slices, string_buffers
+from tessella.llm.common import Stage, release, ship, slices, string_buffers
 from tessella.llm.components import components
 from tessella.llm.shingles import linked, minhash, mixed, shingle_sets
 
 PERCENT, CHUNK, CHUNKS, ERRORS = 75, 5, 10, 1
 SYMBOLS, RADIUS = CHUNK * CHUNKS, CHUNKS * (ERRORS + 1) - 1
 #: Candidates may differ in as many symbols; chunks of the first star; members of a block in the last pass.
-FAR, FIRST_CHUNKS, BLOCK = 28, 2, 2048
+FAR, FIRST_CHUNKS, BLOCK = 28, 2, 1024
 
 
 def sketches(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,38 +153,75 @@ def star(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(hubs, "key").where("component <> hub").select("a", F.col("node").alias("b")).distinct()
 
 
-def across(index: DataFrame, labels: DataFrame, nodes: DataFrame, *, symbols: int = SYMBOLS, far: int = FAR, percent: int = PERCENT) -> DataFrame:
-    """Pairs a, b of different components that share a bucket and whose signatures are near, found block by block."""
+def star_of_hubs(index: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs a, b of each bucket's member with the most links so far and all its members of other components."""
+    ends = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    rows = labelled(index, labels).join(ends, "node", "left").select("key", "node", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
+    hubs = rows.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("first"), "node", "component")).alias("hub"), F.min("component").alias("least"), F.max("component").alias("most"))
+    hubs = hubs.where("least <> most").select("key", F.col("hub.node").alias("a"), F.col("hub.component").alias("own"))
+    return rows.join(hubs, "key").where("component <> own").select("a", F.col("node").alias("b")).distinct()
+
+
+def across(index: DataFrame, labels: DataFrame, nodes: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], set_of: Callable[[bytes], np.ndarray], *, symbols: int = SYMBOLS, far: int = FAR, percent: int = PERCENT) -> DataFrame:
+    """Links a, b between different components that share a bucket, decided on the full sets inside the tasks.
+
+    nodes: node, n_shingles, signature, content (from which set_of makes the set). A task has two blocks of a bucket; of
+    its pairs it takes those of different components, near signatures and no earlier key in common, so that a pair is
+    decided once. Components that a link joins count as one from then on, so a task emits fewer links than it has members.
+    """
     rows = labelled(index, labels)
     several = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
     rows = rows.join(several.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.join(nodes.select("node", "n_shingles", "signature"), "node").withColumn("block", block)
+    rows = rows.join(nodes.select("node", "n_shingles", "signature", "content"), "node").withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "node", "component", "n_shingles", "signature", "block", other)
-    rows = rows.select("key", "node", "component", "n_shingles", "signature", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.select("key", "node", "component", "n_shingles", "signature", "content", "block", other)
+    rows = rows.select("key", "node", "component", "n_shingles", "signature", "content", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        left = group[group["block"] == i]
-        right = left if i == j else group[group["block"] == j]
-        found = []
-        signs = [np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(-1, symbols) for x in (left, right)]
-        node, other = left["node"].to_numpy(), right["node"].to_numpy()
-        own, theirs = left["component"].to_numpy(), right["component"].to_numpy()
-        size, sizes = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
-        for k in range(len(node)):
-            fit = (own[k] != theirs) & (100 * np.minimum(size[k], sizes) >= percent * np.maximum(size[k], sizes))
-            if i == j:
-                fit[: k + 1] = False
-            at = np.flatnonzero(fit)
-            at = at[(signs[1][at] != signs[0][k]).sum(1) <= far]
-            found += [(min(node[k], x), max(node[k], x)) for x in other[at].tolist()]
+        group = group.sort_values(["n_shingles", "node"])
+        sign = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(-1, symbols)
+        keys, here = keys_of(sign), int(group["key"].iloc[0])
+        node, size, block = (group[c].to_numpy() for c in ("node", "n_shingles", "block"))
+        _, label = np.unique(group["component"].to_numpy(), return_inverse=True)
+        content, found, sets = group["content"].to_list(), [], {}
+        for k in range(len(node) - 1):
+            stop = int(np.searchsorted(size, size[k] * 100 / percent + 1e-6, "right"))
+            at = k + 1 + np.flatnonzero(label[k + 1 : stop] != label[k])
+            if i != j:
+                at = at[block[at] != block[k]]
+            at = at[(sign[at] != sign[k]).sum(1) <= far]
+            if not len(at):
+                continue
+            at = at[keys[k][(keys[at] == keys[k]).argmax(1)] == here]
+            for x in at.tolist():
+                if label[x] != label[k]:
+                    for y in (k, x):
+                        if y not in sets:
+                            sets[y] = set_of(content[y])
+                    if linked(sets[k], sets[x], percent):
+                        found.append((min(node[k], node[x]), max(node[k], node[x])))
+                        label[label == label[x]] = label[k]
+            sets.pop(k, None)
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
+def connect(first: DataFrame, index: DataFrame, verify: Callable[[DataFrame], DataFrame], last: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component of all links: three stars, each decided by verify(pairs), then last(labels), the rest of the links."""
+    links = labels = None
+    for found in (lambda: verify(star(first, None)), lambda: verify(star(index, labels)), lambda: verify(star_of_hubs(index, labels, links)), lambda: last(labels)):
+        fresh = Stage(found()).df
+        links = fresh if links is None else links.unionByName(fresh)
+        # a component's labels stand for the links before
+        edges = fresh if labels is None else fresh.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = components(edges).df
+        release(fresh.sparkSession)
+    return labels
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component, kept for every row."""
     made = Stage(sketches(df, id_col=id_col, text_col=text_col)).df
@@ -197,14 +234,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     index = Stage(index.join(met, "key", "left_semi")).df
     sets = Stage(set_table(df, index.select("node").distinct(), id_col=id_col, text_col=text_col)).df
     first = indexed(whole.join(index.select("node").distinct(), "node", "left_semi"), FIRST_CHUNKS)
-    links, labels = None, None
-    for found in (lambda: star(first, None), lambda: star(index, labels), lambda: across(index, labels, unique)):
-        fresh = verified(near(Stage(found()).df, unique), sets)
-        if links is not None:
-            # a component's labels stand for its links
-            fresh = fresh.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        links = Stage(fresh).df
-        labels = components(links).df
+    full = unique.join(sets.withColumnRenamed("set", "content"), "node")
+    labels = connect(first, index, lambda pairs: verified(near(Stage(pairs).df, unique), sets), lambda labels: across(index, labels, full, chunk_keys, lambda x: np.frombuffer(x, np.uint64)))
     named = nodes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     rows = made.join(Stage(named).df, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component"))
