@@ -230,18 +230,22 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), others(df, text_col).alias("_row"), F.col(f"`{text_col}`").alias("text"))
     docs = rows.where("doc is not null and text is not null").select("doc", "text")
-    shared = Stage(first_documents(anchor_rows(docs, length), "rank", drop_unique=True)).df
+    shared = Stage(first_documents(anchor_rows(docs, length), "rank", drop_unique=True))
     release(spark)
-    ranked = first_documents(shared.withColumnRenamed("first", "rank_first"), "block", drop_unique=False)
-    ranked = Stage(ranked.select("rank", "block", "doc", (F.col("doc") > F.col("first")).alias("gone"), (F.col("doc") > F.col("rank_first")).alias("later"))).df
+    ranked = first_documents(shared.df.withColumnRenamed("first", "rank_first"), "block", drop_unique=False)
+    ranked = Stage(ranked.select("rank", "block", "doc", (F.col("doc") > F.col("first")).alias("gone"), (F.col("doc") > F.col("rank_first")).alias("later")))
+    shared.drop()
     release(spark)
-    matters = ranked.where("not gone and later").select("rank").distinct()
-    still_open = ranked.where("not gone").join(matters, "rank", "left_semi").select("doc", "block")
+    blocks_gone = Stage(ranked.df.where("gone").select("doc", "block")).df
+    matters = ranked.df.where("not gone and later").select("rank").distinct()
+    still_open = ranked.df.where("not gone").join(matters, "rank", "left_semi").select("doc", "block")
     windows = first_documents(window_rows(docs, still_open, length), "rank", drop_unique=True).where("doc > first")
     windows = Stage(windows.select("doc", "rank")).df
+    ranked.drop()
+    del matters, still_open
     release(spark)
     none = F.lit(None).cast("long")
-    gone = ranked.where("gone").select("doc", "block", none.alias("window")).unionByName(windows.select("doc", none.alias("block"), F.col("rank").alias("window")))
+    gone = blocks_gone.select("doc", "block", none.alias("window")).unionByName(windows.select("doc", none.alias("block"), F.col("rank").alias("window")))
     gone = gone.groupBy("doc").agg(F.collect_set("block").alias("gone_blocks"), F.collect_list("window").alias("gone_windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
