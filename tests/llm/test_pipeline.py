@@ -43,7 +43,7 @@ def test_against_brute_force(spark):
         assert out.schema == docs.schema
         assert sorted((r.doc_id, r.text) for r in out.collect()) == expected
         assert out.where(F.length("text") != F.col("n_chars")).count() == 0
-    rows = corpus_pipeline.run(spark, SF).collect()
+    rows = corpus_pipeline.pack(spark, out, SF).collect()
     assert {r.doc_id for r in rows} == {i for i, _ in steps[-1]}
     places = {}
     for r in rows:
@@ -73,4 +73,14 @@ def test_odd_rows(spark, stage):
             assert next(r.text for r in got if r.doc_id == 1) is None
     else:
         assert len(got) == len(rows)
-    assert stage[1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_run_applies_the_stages_in_order(spark, monkeypatch):
+    def stage(name):
+        return name, lambda spark, docs, sf_dir: docs.withColumn("lang", F.concat(F.coalesce("lang", F.lit("")), F.lit(name)))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b"), stage("c")])
+    rows = corpus_pipeline.run(spark, SF).select("lang").distinct().collect()
+    assert all(r.lang.endswith("abc") for r in rows)
+    monkeypatch.undo()
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "substring_dedup", "pack"]
