@@ -16,19 +16,22 @@ def extent(df: DataFrame) -> DataFrame:
     return df.agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
 
 
-def balanced_grid(df: DataFrame, max_rows: int, min_side: float = 0.0, deepest: int = DEEPEST) -> DataFrame:
+def balanced_grid(df: DataFrame, max_rows: int, min_side: float | None = None, deepest: int = DEEPEST) -> DataFrame:
     """Cells (cell, level, num_rows, box) of a quadtree over df's boxes.
 
     A cell is split in four while max_rows or more boxes meet it and neither side is below min_side. Boxes on a border
-    count in all cells that they touch. The boxes are read once for all levels that a round covers: a round counts the
-    boxes of the open cells' children only. Open cells per level are bounded by boxes / max_rows x 4, and they are
-    joined to the boxes by their place in the level's lattice, not against each other.
+    count in all cells that they touch. Without a min_side it is the mean of the boxes' longer sides: smaller cells don't
+    part boxes that lie on each other, and could be far more than the boxes. The boxes are read once for all levels that a round covers: a round counts the
+    boxes of the open cells' children only, and they are
+    joined to the boxes by their place in the level's lattice.
     """
     spark, box = df.sparkSession, extent(df).first()
     schema = "path string, level int, num_rows long, xmin double, ymin double, xmax double, ymax double"
     if box is None or box["xmin"] is None:
         return spark.createDataFrame([], schema).withColumn("cell", F.lit(0))
     x0, y0, x1, y1 = (float(box[c]) for c in BOX)
+    if min_side is None:
+        min_side = float(df.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0])
     boxes = df.select(*[F.col(c).cast("double").alias(c) for c in BOX])
     done, opened, counts = [], {(0, 0): ""}, {(0, 0): df.count()}
     for level in range(deepest + 1):

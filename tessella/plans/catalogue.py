@@ -55,7 +55,7 @@ g(level, n, xmin, ymin, xmax, ymax) as (
   group by c.level, c.xmin, c.ymin, c.xmax, c.ymax)
 select level, n as num_rows, xmin, ymin, xmax, ymax from g where n < {GRID_ROWS} or level = {GRID_DEEPEST}""")
 def balanced_grid(spark, d):
-    return grid.balanced_grid(parcels(spark, d), GRID_ROWS, deepest=GRID_DEEPEST).drop("cell")
+    return grid.balanced_grid(parcels(spark, d), GRID_ROWS, 0.0, deepest=GRID_DEEPEST).drop("cell")
 
 
 @query(f"select x // {CELL} as cx, y // {CELL} as cy, count(*) as num_polygons from (select pk, unnest(range(xmin // {CELL} * {CELL}, xmax + 1, {CELL})) as x, ymin, ymax from {PARCELS}) t, lateral (select unnest(range(ymin // {CELL} * {CELL}, ymax + 1, {CELL})) as y) u group by all")
