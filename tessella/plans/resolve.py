@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.geometry import chaikin
 from tessella.operators import faces as faces_
+from tessella.operators.lines import chains, merged_lines, simplified
 from tessella.operators.noding import node, segments_of
 from tessella.operators.tables import written
 
@@ -31,10 +33,22 @@ class TopologySpec:
 
 @dataclass(frozen=True)
 class CleanSpec:
-    """min_area: smaller faces join the neighbour across their longest edge (0: none do). In square units of the layer."""
+    """min_area: smaller faces join the neighbour across their longest edge (0: none do). In square units of the layer.
+
+    simplify_tolerance: lines between nodes lose points nearer to them (0: none do), unless the mean distance of points
+    would exceed simplify_max_average_vertex_length (0: no limit). chaikin_rounds: sharp vertices are cut as often; the
+    limits are those of functions.geometry.sharp. Nodes where other than two lines meet stay where they are.
+    """
 
     min_area: float = 0.0
-    least_share: float = 0.5
+    simplify_tolerance: float = 0.0
+    simplify_max_average_vertex_length: float = 0.0
+    chaikin_rounds: int = 0
+    chaikin_max_length: float = 40.0
+    chaikin_min_degrees: float = 120.0
+    chaikin_max_degrees: float = 240.0
+    chaikin_min_steep_degrees: float = 40.0
+    chaikin_max_steep_degrees: float = 320.0
 
 
 @dataclass(frozen=True)
@@ -80,15 +94,20 @@ def resolve(polygons: DataFrame, topology: TopologySpec, clean: CleanSpec | None
         result.edges = lines
         return result
     noded, result.rejects = node(lines, cell)
+    if clean.simplify_tolerance > 0 or clean.chaikin_rounds > 0:
+        # a line between nodes borders two faces at most, so both see the same new line
+        noded, result.rejects = node(reshaped(noded, clean, step), cell)
     result.edges = noded
     if options.stop_after == "nodes":
         return result
     cycled = written(faces_.cycles(noded))
     result.faces = written(faces_.faces(cycled, cell))
     result.edges = written(faces_.edges_of(cycled))
-    if clean.min_area > 0:
-        noded = merge_small(result, clean.min_area / step / step)
-        cycled = written(faces_.cycles(noded))
+    while clean.min_area > 0:
+        edges = merge_small(result, clean.min_area / step / step)
+        if edges is None:
+            break
+        cycled = written(faces_.cycles(edges))
         result.faces = written(faces_.faces(cycled, cell))
         result.edges = written(faces_.edges_of(cycled))
     if options.stop_after == "faces":
@@ -97,16 +116,30 @@ def resolve(polygons: DataFrame, topology: TopologySpec, clean: CleanSpec | None
     return result
 
 
-def merge_small(result: Result, least: float) -> DataFrame:
-    """Segments without the longest edge of each face under `least` (lattice units).
+def reshaped(segments: DataFrame, clean: CleanSpec, step: float) -> DataFrame:
+    """The segments of the healed lines, simplified and smoothed, on the lattice."""
+    lines = merged_lines(chains(segments))
+    if clean.simplify_tolerance > 0:
+        lines = simplified(lines, clean.simplify_tolerance / step, clean.simplify_max_average_vertex_length / step)
+    if clean.chaikin_rounds > 0:
+        limits = {"max_length": clean.chaikin_max_length / step, "min_degrees": clean.chaikin_min_degrees, "max_degrees": clean.chaikin_max_degrees, "min_steep": clean.chaikin_min_steep_degrees, "max_steep": clean.chaikin_max_steep_degrees}
+        lines = written(lines.select("chain", "pts")).withColumn("pts", chaikin(F.col("pts"), clean.chaikin_rounds, **limits))
+    return written(segments_of(lines.select(F.array("pts").alias("rings")), 1.0))
+
+
+def merge_small(result: Result, least: float) -> DataFrame | None:
+    """Segments without the longest edge of each face under `least` (lattice units); null when there is none to remove.
 
-    One round: a face whose neighbour there is small as well and smaller waits for it, so merges don't depend on order.
+    A longest edge between a face and the outside goes as well, which merges the face outward.
     """
     small = result.faces.where(F.col("area2") < 2 * least).select("face", "area2")
     length = F.pow(F.col("x2") - F.col("x1"), F.lit(2)) + F.pow(F.col("y2") - F.col("y1"), F.lit(2))
     sides = result.edges.where("left <> right")
     sides = sides.select("x1", "y1", "x2", "y2", F.col("left").alias("face"), length.alias("l")).unionAll(sides.select("x1", "y1", "x2", "y2", "right", length))
     longest = sides.join(small, "face").groupBy("face").agg(F.max_by(F.struct("x1", "y1", "x2", "y2"), F.struct("l", (-F.col("x1")).alias("a"), (-F.col("y1")).alias("b"), (-F.col("x2")).alias("c"), (-F.col("y2")).alias("d"))).alias("e"))
+    longest = written(longest)
+    if longest.isEmpty():
+        return None
     return written(result.edges.select("x1", "y1", "x2", "y2").join(longest.select("e.*").distinct(), ["x1", "y1", "x2", "y2"], "left_anti"))
 
 

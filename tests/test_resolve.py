@@ -41,6 +41,13 @@ def test_small_faces_join_neighbours(spark, four):
     assert len(got) == 5 and sum(got) == pytest.approx(1.262615, abs=1e-5) and got[0] == pytest.approx(0.002364, abs=2e-6)
 
 
+def test_simplified_and_smoothed(spark, four):
+    clean = CleanSpec(simplify_tolerance=2e-3, chaikin_rounds=1, chaikin_max_length=0.05)
+    out = resolve(four, TopologySpec(1e-5), clean)
+    assert sorted((r.pk for r in out.attributes.collect()), key=str) == sorted([633, 834, 834, 1231, 1231, 1233, None], key=str)
+    assert validate(out.edges).isEmpty()
+
+
 def test_random_rectangles(spark):
     rng = random.Random(5)
     boxes = [(k, x := rng.randrange(30), y := rng.randrange(30), x + rng.randint(1, 12), y + rng.randint(1, 12)) for k in range(40)]
