@@ -68,8 +68,9 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
     return (key & ~np.uint64(BANDS - 1) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def all_keys(signs: np.ndarray) -> np.ndarray:
-    return np.stack([band_keys(s) for s in signs]) if len(signs) else np.zeros((0, BANDS), np.int64)
+def first_band(same: np.ndarray) -> np.ndarray:
+    """The first band in which signatures agree, by the symbols that are the same."""
+    return same.reshape(-1, BANDS, ROWS).all(2).argmax(1)
 
 
 def lines_of(part: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
@@ -148,7 +149,7 @@ def line_components(docs: DataFrame) -> DataFrame:
     release(spark)
     first = index.where((F.col("key").bitwiseAND(F.lit(BANDS - 1))) < FIRST_BANDS)
     full = nodes.withColumnRenamed("line", "content")
-    return connect(first, index, lambda pairs: verified(pairs, nodes), lambda labels: across(index, labels, full, all_keys, shingles, symbols=SYMBOLS, far=FAR, percent=PERCENT))
+    return connect(first, index, lambda pairs: verified(pairs, nodes), lambda labels: across(index, labels, full, first_band, shingles, number_bits=BANDS.bit_length() - 1, symbols=SYMBOLS, far=FAR, percent=PERCENT))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,6 @@ import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +39,8 @@ from tessella.llm.shingles import linked, minhash, mixed, shingle_sets
 
 PERCENT, CHUNK, CHUNKS, ERRORS = 75, 5, 10, 1
 SYMBOLS, RADIUS = CHUNK * CHUNKS, CHUNKS * (ERRORS + 1) - 1
+#: Low bits of a key that number it.
+NUMBER_BITS = 6
 #: Candidates may differ in as many symbols; chunks of the first star; members of a block in the last pass.
 FAR, FIRST_CHUNKS, BLOCK = 28, 2, 1024
 
@@ -66,7 +67,10 @@ def signatures(column: pa.Array, symbols: int = SYMBOLS) -> np.ndarray:
 
 
 def chunk_keys(signs: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
-    """Keys (rows x keys, signed) of each signature: every chunk with every choice of ERRORS symbols left out."""
+    """Keys (rows x keys, signed) of each signature: every chunk with every choice of ERRORS symbols left out.
+
+    A key's low NUMBER_BITS bits are its number.
+    """
     out = []
     for c in range(chunks):
         for left in itertools.combinations(range(CHUNK), ERRORS):
@@ -74,7 +78,7 @@ def chunk_keys(signs: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
             for j in range(CHUNK):
                 if j not in left:
                     key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + signs[:, c * CHUNK + j])
-            out.append(key)
+            out.append(key >> np.uint64(NUMBER_BITS) << np.uint64(NUMBER_BITS) | np.uint64(len(out)))
     return np.stack(out, 1).view(np.int64)
 
 
@@ -162,12 +166,20 @@ def star_of_hubs(index: DataFrame, labels: DataFrame, links: DataFrame) -> DataF
     return rows.join(hubs, "key").where("component <> own").select("a", F.col("node").alias("b")).distinct()
 
 
-def across(index: DataFrame, labels: DataFrame, nodes: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], set_of: Callable[[bytes], np.ndarray], *, symbols: int = SYMBOLS, far: int = FAR, percent: int = PERCENT) -> DataFrame:
+def first_common(same: np.ndarray) -> np.ndarray:
+    """The number of the first key that signatures have in common, by the symbols in which they agree (rows x SYMBOLS)."""
+    other = ~same.reshape(-1, CHUNKS, CHUNK)
+    chunk = (other.sum(2) <= ERRORS).argmax(1)
+    return chunk * CHUNK + other[np.arange(len(other)), chunk].argmax(1)
+
+
+def across(index: DataFrame, labels: DataFrame, nodes: DataFrame, first: Callable[[np.ndarray], np.ndarray], set_of: Callable[[bytes], np.ndarray], *, number_bits: int = NUMBER_BITS, symbols: int = SYMBOLS, far: int = FAR, percent: int = PERCENT) -> DataFrame:
     """Links a, b between different components that share a bucket, decided on the full sets inside the tasks.
 
-    nodes: node, n_shingles, signature, content (from which set_of makes the set). A task has two blocks of a bucket; of
-    its pairs it takes those of different components, near signatures and no earlier key in common, so that a pair is
-    decided once. Components that a link joins count as one from then on, so a task emits fewer links than it has members.
+    nodes: node, n_shingles, signature, content (from which set_of makes the set). A task reads the buckets one after
+    another, two blocks at a time; of their pairs it takes those of different components, near signatures and no earlier
+    key in common (first(), against the number in the key's low bits), so that a pair is decided once. Components that a
+    link joins count as one from then on, so a bucket gives fewer links than it has members.
     """
     rows = labelled(index, labels)
     several = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
@@ -176,37 +188,62 @@ def across(index: DataFrame, labels: DataFrame, nodes: DataFrame, keys_of: Calla
     rows = rows.join(nodes.select("node", "n_shingles", "signature", "content"), "node").withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("key", "node", "component", "n_shingles", "signature", "content", "block", other)
-    rows = rows.select("key", "node", "component", "n_shingles", "signature", "content", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        group = group.sort_values(["n_shingles", "node"])
-        sign = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(-1, symbols)
-        keys, here = keys_of(sign), int(group["key"].iloc[0])
-        node, size, block = (group[c].to_numpy() for c in ("node", "n_shingles", "block"))
-        _, label = np.unique(group["component"].to_numpy(), return_inverse=True)
-        content, found, sets = group["content"].to_list(), [], {}
-        for k in range(len(node) - 1):
-            stop = int(np.searchsorted(size, size[k] * 100 / percent + 1e-6, "right"))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n_shingles", "node", "component", "signature", "content", "block")
+
+    def links_in(bucket: pa.RecordBatch) -> list[tuple[int, int]]:
+        n = bucket.num_rows
+        if n < 2:
+            return []
+        here, apart = bucket.column("key")[0].as_py() & ((1 << number_bits) - 1), bucket.column("i")[0].as_py() != bucket.column("j")[0].as_py()
+        size, node, block = (np.asarray(bucket.column(c)) for c in ("n_shingles", "node", "block"))
+        label, sign = np.array(bucket.column("component")), signatures(bucket.column("signature"), symbols)
+        content, found, sets = bucket.column("content"), [], {}
+        for k in range(n - 1):
+            stop = int(np.searchsorted(size, size[k] * 100 // percent, "right"))
             at = k + 1 + np.flatnonzero(label[k + 1 : stop] != label[k])
-            if i != j:
+            if apart:
                 at = at[block[at] != block[k]]
-            at = at[(sign[at] != sign[k]).sum(1) <= far]
             if not len(at):
                 continue
-            at = at[keys[k][(keys[at] == keys[k]).argmax(1)] == here]
-            for x in at.tolist():
+            same = sign[at] == sign[k]
+            fine = same.sum(1) >= symbols - far
+            fine[fine] = first(same[fine]) == here
+            for x in at[fine].tolist():
                 if label[x] != label[k]:
                     for y in (k, x):
                         if y not in sets:
-                            sets[y] = set_of(content[y])
+                            sets[y] = set_of(content[y].as_py())
                     if linked(sets[k], sets[x], percent):
                         found.append((min(node[k], node[x]), max(node[k], node[x])))
                         label[label == label[x]] = label[k]
             sets.pop(k, None)
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        return found
 
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of a bucket of which more may come: two blocks at most
+
+        def emit(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held:
+                batch = pa.concat_batches([*held, batch])
+            names = [np.asarray(batch.column(c)) for c in ("key", "i", "j")]
+            starts = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in names], axis=0)])).tolist()
+            found = []
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                found += links_in(batch.slice(s, e - s))
+            yield from emit(found)
+            held = [batch.slice(starts[-1])]
+        if held:
+            yield from emit(links_in(held[0]))
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n_shingles", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def connect(first: DataFrame, index: DataFrame, verify: Callable[[DataFrame], DataFrame], last: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -235,7 +272,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     sets = Stage(set_table(df, index.select("node").distinct(), id_col=id_col, text_col=text_col)).df
     first = indexed(whole.join(index.select("node").distinct(), "node", "left_semi"), FIRST_CHUNKS)
     full = unique.join(sets.withColumnRenamed("set", "content"), "node")
-    labels = connect(first, index, lambda pairs: verified(near(Stage(pairs).df, unique), sets), lambda labels: across(index, labels, full, chunk_keys, lambda x: np.frombuffer(x, np.uint64)))
+    labels = connect(first, index, lambda pairs: verified(near(Stage(pairs).df, unique), sets), lambda labels: across(index, labels, full, first_common, lambda x: np.frombuffer(x, np.uint64)))
     named = nodes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     rows = made.join(Stage(named).df, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component"))

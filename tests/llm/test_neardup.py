@@ -100,6 +100,7 @@ def test_pigeonhole():
         other[rng.permutation(neardup.SYMBOLS)[: neardup.RADIUS]] += 1
         a, b = neardup.chunk_keys(np.stack([base, other]))
         assert (a == b).any()
+        assert neardup.first_common((base == other)[None])[0] == (a == b).argmax()
 
 
 def test_sets():
