@@ -18,6 +18,7 @@ columns of the input are kept by dedup_lines() and ignored otherwise.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import Stage, others, release, ship, slices, string_buffers
 from tessella.llm.neardup import across, connect
-from tessella.llm.shingles import linked, minhash, mixed
+from tessella.llm.shingles import linked, mixed
 from tessella.llm.substrings import first_documents
 from tessella.llm.words import random_codes
 
@@ -60,11 +61,44 @@ def shingles(line: bytes) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def band_keys(sign: np.ndarray) -> np.ndarray:
-    """A key for each band, whose low bits are the band's number."""
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in sign.reshape(BANDS, ROWS).T.astype(np.uint64):
-        key = mixed(key * MULT + column)
+@functools.cache
+def hash_functions() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240501)
+    return rng.integers(0, 1 << 32, SYMBOLS, np.uint64).astype(np.uint32), (rng.integers(0, 1 << 31, SYMBOLS, np.uint64) * 2 + 1).astype(np.uint32)
+
+
+def signatures_of(lines: list[bytes]) -> np.ndarray:
+    """Signatures (lines x SYMBOLS) of lines that count, many at a time: a minimum over each line for each function."""
+    out, start = np.empty((len(lines), SYMBOLS), np.uint32), 0
+    while start < len(lines):
+        stop, size = start, 0
+        while stop < len(lines) and size < 1 << 16:
+            size += len(lines[stop])
+            stop += 1
+        codes = np.frombuffer(b"\n".join(lines[start:stop]).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        h = random_codes()[codes]
+        n = len(h) - SHINGLE + 1
+        total = h[:n].copy()
+        for j in range(1, SHINGLE):
+            total *= MULT
+            total += h[j : n + j]
+        short = np.append((mixed(total) >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+        ends = np.append(np.flatnonzero(codes == 10), len(codes))
+        begins = np.append(0, ends[:-1] + 1)
+        # the shingles of a line start from its first character to SHINGLE - 1 before its end
+        bounds = np.stack([begins, ends - SHINGLE + 1], 1).ravel()
+        for k, (add, times) in enumerate(zip(*hash_functions(), strict=True)):
+            out[start:stop, k] = np.minimum.reduceat((short ^ add) * times, bounds)[::2]
+        start = stop
+    return out
+
+
+def band_keys(signs: np.ndarray) -> np.ndarray:
+    """Keys (lines x BANDS) whose low bits are the band's number."""
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(signs), 1))
+    bands = signs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    for r in range(ROWS):
+        key = mixed(key * MULT + bands[:, :, r])
     return (key & ~np.uint64(BANDS - 1) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
@@ -101,9 +135,9 @@ def band_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in once(batches):
-            keys = [band_keys(minhash(shingles(line), SYMBOLS)) for line in found.values()]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(list(found), np.int64), BANDS))], ["key", "doc"])
+            if found:
+                keys = band_keys(signatures_of(list(found.values())))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(list(found), np.int64), BANDS))], ["key", "doc"])
 
     return docs.mapInArrow(run, "key long, doc long")
 
@@ -117,8 +151,9 @@ def node_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(line) for line in batch.column("line").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([minhash(s, SYMBOLS).tobytes() for s in sets], pa.binary())], ["node", "line", "n_shingles", "signature"])
+            lines = batch.column("line").to_pylist()
+            signs, sizes = signatures_of(lines), [len(shingles(line)) for line in lines]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array([s.tobytes() for s in signs], pa.binary())], ["node", "line", "n_shingles", "signature"])
 
     lines = docs.mapInArrow(texts, "node long, line binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     return lines.mapInArrow(measure, "node long, line binary, n_shingles long, signature binary")
