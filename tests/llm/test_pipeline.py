@@ -60,7 +60,7 @@ def test_against_brute_force(spark):
 
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
 def test_odd_rows(spark, stage):
-    words = " ".join(f"word{i}" for i in range(80))
+    words = " ".join("w" + "abcdefghij"[i // 10] * 3 + "klmnopqrst"[i % 10] * 2 for i in range(80))
     rows = [(None, words, None, None, None), (1, None, "en", "s", 0), (2, "", None, "s", 0), (3, words, "en", None, None), (3, words, "en", None, None), (4, words + " more", "en", "s", 9)]
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, n_words int")
     out = stage[1](spark, docs, SF)
