@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier line resembles."""
-    return counted(with_text(lines.dedup_lines(docs), docs.columns, "text", "_text"))
+    return counted(with_text(lines.dedup_lines(docs, short_lines=True), docs.columns, "text", "_text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

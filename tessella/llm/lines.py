@@ -1,7 +1,8 @@
 """Fuzzy line deduplication by MinHash (operator 10).
 
-Lines of MIN_CHARS characters or more count; shorter ones say too little to be copies and always stay. Equal lines are
-one node. A line's signature has a minimum for each of BANDS * ROWS hash functions over its distinct shingles of SHINGLE
+Lines of MIN_CHARS characters or more count; with short_lines (as in the query and the pipeline) every shorter line that
+holds a word counts too. Equal lines are one node; lines under SHINGLE characters have no shingles, so only equality
+links them. A line's signature has a minimum for each of BANDS * ROWS hash functions over its distinct shingles of SHINGLE
 characters; lines that agree in all ROWS symbols of a band meet. A pair at the similarity of 0.75 has no band in common
 with a chance of 0.0025, one at 0.8 with 0.0002. Candidates are decided by the exact Jaccard similarity of their shingle
 sets, as in operator 7: stars first, then every pair of members of different components that share a band, compared
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +40,27 @@ SYMBOLS = ROWS * BANDS
 #: Candidates may differ in as many symbols (a pair at the similarity exceeds it with a chance of about 1e-6); bands of the first star.
 FAR, FIRST_BANDS = 34, 2
 MULT = np.uint64(0xA0761D6478BD642F)
+#: A letter or digit of any script.
+WORD = re.compile(r"[^\W_]")
 
 
 def digest(line: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little", signed=True)
 
 
-def counts(line: bytes) -> bool:
-    """Whether a line is long enough, in characters, to be compared."""
-    return len(line) >= MIN_CHARS and (len(line) >= 4 * MIN_CHARS or len(line.decode("utf-8", "replace")) >= MIN_CHARS)
+def counts(line: bytes, short_lines: bool) -> bool:
+    """Whether a line takes part: it is long enough, in characters, or a short one that holds a word."""
+    if len(line) >= 4 * MIN_CHARS:
+        return True
+    if not short_lines and len(line) < MIN_CHARS:
+        return False
+    text = line.decode("utf-8", "replace")
+    return len(text) >= MIN_CHARS or short_lines and WORD.search(text) is not None
+
+
+def compared(line: bytes, short_lines: bool) -> bool:
+    """Whether a line takes part and has shingles."""
+    return counts(line, short_lines) and (len(line) >= 4 * SHINGLE or len(line.decode("utf-8", "replace")) >= SHINGLE)
 
 
 def shingles(line: bytes) -> np.ndarray:
@@ -68,7 +82,7 @@ def hash_functions() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures_of(lines: list[bytes]) -> np.ndarray:
-    """Signatures (lines x SYMBOLS) of lines that count, many at a time: a minimum over each line for each function."""
+    """Signatures (lines x SYMBOLS) of lines that have shingles, many at a time: a minimum over each line for each function."""
     out, start = np.empty((len(lines), SYMBOLS), np.uint32), 0
     while start < len(lines):
         stop, size = start, 0
@@ -114,15 +128,15 @@ def lines_of(part: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         yield i, raw[a:b].split(b"\n")
 
 
-def once(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, bytes]]:
-    """The distinct lines of each slice; lines met lately in the task are left out."""
+def once(batches: Iterator[pa.RecordBatch], short_lines: bool) -> Iterator[dict[int, bytes]]:
+    """The distinct lines with shingles of each slice; lines met lately in the task are left out."""
     lately: set[int] = set()
     for batch in batches:
         for part in slices(batch, "text"):
             found = {}
             for _, lines in lines_of(part):
                 for line in lines:
-                    if counts(line) and (key := digest(line)) not in lately and key not in found:
+                    if compared(line, short_lines) and (key := digest(line)) not in lately and key not in found:
                         found[key] = line
             if len(lately) > 200_000:
                 lately.clear()
@@ -130,11 +144,11 @@ def once(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, bytes]]:
             yield found
 
 
-def band_rows(docs: DataFrame) -> DataFrame:
+def band_rows(docs: DataFrame, short_lines: bool) -> DataFrame:
     """key (of a band), doc (the line's digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in once(batches):
+        for found in once(batches, short_lines):
             if found:
                 keys = band_keys(signatures_of(list(found.values())))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(list(found), np.int64), BANDS))], ["key", "doc"])
@@ -142,11 +156,11 @@ def band_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc long")
 
 
-def node_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def node_table(docs: DataFrame, wanted: DataFrame, short_lines: bool) -> DataFrame:
     """node, line, n_shingles, signature for the wanted lines."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in once(batches):
+        for found in once(batches, short_lines):
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "line"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,20 +188,20 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
-def line_components(docs: DataFrame) -> DataFrame:
+def line_components(docs: DataFrame, short_lines: bool) -> DataFrame:
     """node, component for the lines (digests) that are linked with another."""
     spark = docs.sparkSession
-    index = first_documents(band_rows(docs), "key", drop_unique=True)
+    index = first_documents(band_rows(docs, short_lines), "key", drop_unique=True)
     index = Stage(index.select("key", F.col("doc").alias("node")).distinct()).df
     release(spark)
-    nodes = Stage(node_table(docs, index.select("node").distinct())).df
+    nodes = Stage(node_table(docs, index.select("node").distinct(), short_lines)).df
     release(spark)
     first = index.where((F.col("key").bitwiseAND(F.lit(BANDS - 1))) < FIRST_BANDS)
     full = nodes.withColumnRenamed("line", "content")
     return connect(first, index, lambda pairs: verified(pairs, nodes), lambda labels: across(index, labels, full, first_band, shingles, number_bits=BANDS.bit_length() - 1, symbols=SYMBOLS, far=FAR, percent=PERCENT))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, short_lines: bool) -> DataFrame:
     """doc, node, line (the place of its first occurrence), n (occurrences in the document)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +211,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 for doc, lines in lines_of(part):
                     seen: dict[int, list[int]] = {}
                     for k, line in enumerate(lines):
-                        if counts(line):
+                        if counts(line, short_lines):
                             seen.setdefault(digest(line), [k, 0])[1] += 1
                     rows += [(doc, node, k, n) for node, (k, n) in seen.items()]
                 if rows:
@@ -206,10 +220,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, node long, line long, n long")
 
 
-def decisions(docs: DataFrame) -> DataFrame:
+def decisions(docs: DataFrame, short_lines: bool) -> DataFrame:
     """doc, lines: of each document the lines (node, component, home) whose component occurs more than once."""
-    labels = line_components(docs)
-    places = occurrences(docs).join(labels, "node", "left").select("doc", "node", F.coalesce("component", "node").alias("component"), "line", "n")
+    labels = line_components(docs, short_lines)
+    places = occurrences(docs, short_lines).join(labels, "node", "left").select("doc", "node", F.coalesce("component", "node").alias("component"), "line", "n")
     places = Stage(places).df
     release(docs.sparkSession)
     homes = places.groupBy("component").agg(F.min(F.struct("doc", "line")).alias("at"), F.sum("n").alias("n")).where("n > 1")
@@ -218,12 +232,12 @@ def decisions(docs: DataFrame) -> DataFrame:
     return known.groupBy("doc").agg(F.collect_set("x").alias("lines"))
 
 
-def rest_of(text: bytes, known: list[dict]) -> tuple[bytes, int, int]:
+def rest_of(text: bytes, known: list[dict], short_lines: bool) -> tuple[bytes, int, int]:
     """The text without its lost lines, how many lines count, how many are lost."""
     by, met, kept, considered = {x["node"]: x for x in known}, set(), [], 0
     lines = text.split(b"\n")
     for line in lines:
-        if counts(line):
+        if counts(line, short_lines):
             considered += 1
             x = by.get(digest(line))
             if x is not None:
@@ -234,12 +248,12 @@ def rest_of(text: bytes, known: list[dict]) -> tuple[bytes, int, int]:
     return b"\n".join(kept), considered, len(lines) - len(kept)
 
 
-def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """Struct `_row` with the input's other columns, `_text` with the lines that stay, n_lines and n_lost, for every row."""
     ship(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).where("doc is not null and text is not null")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), others(df, text_col).alias("_row"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.join(decisions(docs), "doc", "left").select("_row", "text", "lines")
+    rows = rows.join(decisions(docs, short_lines), "doc", "left").select("_row", "text", "lines")
     kind = rows.schema["_row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +261,7 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             for part in slices(batch, "text"):
                 texts, out = part.column("text").to_pylist(), []
                 for text, known in zip(texts, part.column("lines").to_pylist(), strict=True):
-                    left, n, lost = rest_of((text or "").encode(), known or [])
+                    left, n, lost = rest_of((text or "").encode(), known or [], short_lines)
                     out.append((text if not lost else left.decode(), n, lost))
                 left, n, lost = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(left, pa.string()), pa.array(n, pa.int64()), pa.array(lost, pa.int64())], ["_row", "_text", "n_lines", "n_lost"])
@@ -256,5 +270,5 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op10_fuzzy_lines(spark, sf_dir: str) -> DataFrame:
-    rows = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    rows = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short_lines=True)
     return rows.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_lost", F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
