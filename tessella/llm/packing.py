@@ -27,12 +27,12 @@ from tessella.llm.words import library_encoder
 CAPACITY, BUCKET = 2048, 16_384
 
 
-def pieces(df: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids (binary, <u4)."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer)
+        encoder = library_encoder(tokenizer, added_tokens)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, offsets = encoder(*string_buffers(part.column("text")))
@@ -98,7 +98,7 @@ def place(rows: DataFrame, *, capacity: int = CAPACITY, bucket: int = BUCKET) ->
 
 def op3_sum_of_squares(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cut = pieces(docs, tokenizer_path("byte_bpe_50k.json"))
+    cut = pieces(docs, tokenizer_path("byte_bpe_50k.json"), added_tokens=True)
     # the ids' checksum stands for them from here on; the operator itself keeps them
     cut = Stage(cut.select("id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))).df
     return place(cut).withColumnRenamed("id", "doc_id")

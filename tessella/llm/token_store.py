@@ -150,7 +150,7 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray
     return out, lengths + 1
 
 
-def write_files(df: DataFrame, tokenizer: str, *, end_id: int = 2, kind: str = "byte", level: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_files(df: DataFrame, tokenizer: str, *, end_id: int = 2, kind: str = "byte", level: int = 1, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Writes plane files in ascending id order under the shared folder; one row per file: file, path, n_docs, n_ids.
 
     Texts are dealt by ranges of the id before they become ids, so each file is one task's work and a lost task is
@@ -167,7 +167,7 @@ def write_files(df: DataFrame, tokenizer: str, *, end_id: int = 2, kind: str = "
         number = TaskContext.get().partitionId()
         files, base = fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
-        path, encoder, writer = f"{base}/{number:06d}-{uuid.uuid4().hex}.planes", library_encoder(tokenizer), None
+        path, encoder, writer = f"{base}/{number:06d}-{uuid.uuid4().hex}.planes", library_encoder(tokenizer, added_tokens), None
         out = None
         for batch in batches:
             for part in slices(batch, "text"):
@@ -223,5 +223,5 @@ def read_files(manifest: DataFrame) -> DataFrame:
 
 def op9_plane_files(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = read_files(write_files(docs, tokenizer_path("byte_bpe_50k.json")))
+    rows = read_files(write_files(docs, tokenizer_path("byte_bpe_50k.json"), added_tokens=True))
     return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -152,15 +152,65 @@ class Encoder:
 
 
 @functools.cache
-def library_encoder(path: str) -> Encoder:
-    """An encoder that asks the tokenizers library for each distinct word."""
+def unassigned() -> np.ndarray:
+    """Code points without a category here: the library may know newer ones and split words there in another way."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+
+
+class WholeTexts(Encoder):
+    """An encoder that gives texts to the library whole where words alone don't decide their ids.
+
+    These are texts that hold an added token of the tokenizer or an unassigned code point; encode_texts gives their ids.
+    """
+
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], encode_texts: Callable[[list[str]], list[list[int]]], added: list[bytes]):
+        super().__init__(encode_words)
+        self.encode_texts, self.added = encode_texts, added
+
+    def whole(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Which texts go to the library whole."""
+        found, raw = np.zeros(len(offsets) - 1, bool), data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                k = int(np.searchsorted(offsets, at, "right")) - 1
+                found[k] |= at + len(token) <= offsets[k + 1]
+                at = raw.find(token, at + 1)
+        codes, ends = codes_of(offsets, data)
+        if len(codes) > 0 and codes.max() > 0x377:  # the first unassigned one is 0x378
+            found[np.searchsorted(ends, np.flatnonzero(unassigned()[codes]), "right") - 1] = True
+        return found
+
+    def __call__(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = self.whole(offsets, data)
+        if not found.any():
+            return super().__call__(offsets, data)
+        sizes, raw = np.diff(offsets), data.tobytes()
+        texts = [raw[offsets[k] : offsets[k + 1]].decode("utf-8", "surrogatepass") for k in np.flatnonzero(found)]
+        ids, ends = super().__call__(np.concatenate([[0], np.cumsum(np.where(found, 0, sizes))]), data[~np.repeat(found, sizes)])
+        got, count = self.encode_texts(texts), np.diff(ends)
+        count[found] = [len(x) for x in got]
+        here = np.repeat(found, count)
+        out = np.empty(len(here), np.uint32)
+        out[~here] = ids
+        out[here] = np.concatenate([np.array(x, np.uint32) for x in got])
+        return out, np.concatenate([[0], np.cumsum(count)])
+
+
+@functools.cache
+def library_encoder(path: str, added_tokens: bool = False) -> Encoder:
+    """An encoder that asks the tokenizers library for each distinct word.
+
+    With added_tokens the ids are those of the library's default call, in which the file's added tokens stand for
+    themselves; else these are split like other text.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added_tokens
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat: list[int] = []
@@ -172,4 +222,7 @@ def library_encoder(path: str) -> Encoder:
                 flat += x
         return np.array(flat, np.uint32), count
 
-    return Encoder(encode)
+    if not added_tokens:
+        return Encoder(encode)
+    added = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values()]
+    return WholeTexts(encode, lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], added)
