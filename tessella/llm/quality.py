@@ -109,8 +109,12 @@ def judge(df: DataFrame, *, text_col: str = "text", sample_rows: int = SAMPLE_RO
 
 
 def keep(df: DataFrame, **options) -> DataFrame:
-    """The input rows that are kept, with the input's columns."""
-    return judge(df, **options).where("kept").select("_row.*")
+    """The input rows that are kept, with the input's columns.
+
+    The verdicts are written first: a filter on them would be pushed below the measures' projections, and every measure
+    be computed again for each place that names it.
+    """
+    return Stage(judge(df, **options).select("_row", "kept")).df.where("kept").select("_row.*")
 
 
 def op1_quality_cascade(spark, sf_dir: str) -> DataFrame:
