@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Stage, others, release, ship, slices, string_buffers
+from tessella.llm.meeting import SHARED, bucket_bits, meet
 from tessella.llm.neardup import across, connect
-from tessella.llm.shingles import linked, mixed
-from tessella.llm.substrings import first_documents
+from tessella.llm.shingles import distinct, linked, mixed
 from tessella.llm.words import random_codes
 
+#: SHINGLE is a power of two.
 SHINGLE, ROWS, BANDS, PERCENT, MIN_CHARS = 8, 4, 16, 75, 20
 SYMBOLS = ROWS * BANDS
 #: Candidates may differ in as many symbols (a pair at the similarity exceeds it with a chance of about 1e-6); bands of the first star.
@@ -63,16 +64,26 @@ def compared(line: bytes, short_lines: bool) -> bool:
     return counts(line, short_lines) and (len(line) >= 4 * SHINGLE or len(line.decode("utf-8", "replace")) >= SHINGLE)
 
 
-def shingles(line: bytes) -> np.ndarray:
-    """Sorted distinct hashes of the line's runs of SHINGLE characters."""
-    codes = np.frombuffer(line.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    h = random_codes()[codes]
-    n = len(h) - SHINGLE + 1
-    total = h[:n].copy()
-    for j in range(1, SHINGLE):
-        total *= MULT
-        total += h[j : n + j]
-    return np.unique(mixed(total))
+def shingle_runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the runs of SHINGLE characters of all lines; where each line's begin among them, and their number."""
+    codes = np.frombuffer(b"\n".join(lines).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    ends = np.append(np.flatnonzero(codes == 10), len(codes))
+    begins = np.append(0, ends[:-1] + 1)
+    total, size, times = random_codes()[codes], 1, int(MULT)
+    while size < SHINGLE:  # hashes of runs of 1, 2, 4, 8 characters
+        n = max(len(total) - size, 0)
+        longer = total[:n] * np.uint64(times)
+        longer += total[size:]
+        total, size, times = longer, 2 * size, times * times % (1 << 64)
+    return mixed(total), begins, ends - begins - SHINGLE + 1
+
+
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each line's runs of SHINGLE characters; every line has one at least."""
+    if not lines:
+        return []
+    hashes, begins, count = shingle_runs(lines)
+    return [distinct(hashes[a : a + n]) for a, n in zip(begins.tolist(), count.tolist(), strict=True)]
 
 
 @functools.cache
@@ -82,27 +93,22 @@ def hash_functions() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures_of(lines: list[bytes]) -> np.ndarray:
-    """Signatures (lines x SYMBOLS) of lines that have shingles, many at a time: a minimum over each line for each function."""
+    """Signatures (lines x SYMBOLS) of lines that have shingles: a minimum over each line for each function."""
     out, start = np.empty((len(lines), SYMBOLS), np.uint32), 0
     while start < len(lines):
         stop, size = start, 0
         while stop < len(lines) and size < 1 << 16:
             size += len(lines[stop])
             stop += 1
-        codes = np.frombuffer(b"\n".join(lines[start:stop]).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        h = random_codes()[codes]
-        n = len(h) - SHINGLE + 1
-        total = h[:n].copy()
-        for j in range(1, SHINGLE):
-            total *= MULT
-            total += h[j : n + j]
-        short = np.append((mixed(total) >> np.uint64(32)).astype(np.uint32), np.uint32(0))
-        ends = np.append(np.flatnonzero(codes == 10), len(codes))
-        begins = np.append(0, ends[:-1] + 1)
-        # the shingles of a line start from its first character to SHINGLE - 1 before its end
-        bounds = np.stack([begins, ends - SHINGLE + 1], 1).ravel()
+        hashes, begins, count = shingle_runs(lines[start:stop])
+        ends = np.cumsum(count)
+        short = (hashes >> np.uint64(32)).astype(np.uint32)[np.repeat(begins - (ends - count), count) + np.arange(ends[-1])]
+        work, least = np.empty_like(short), np.empty((SYMBOLS, stop - start), np.uint32)
         for k, (add, times) in enumerate(zip(*hash_functions(), strict=True)):
-            out[start:stop, k] = np.minimum.reduceat((short ^ add) * times, bounds)[::2]
+            np.bitwise_xor(short, add, out=work)
+            np.multiply(work, times, out=work)
+            np.minimum.reduceat(work, ends - count, out=least[k])
+        out[start:stop] = least.T
         start = stop
     return out
 
@@ -144,16 +150,16 @@ def once(batches: Iterator[pa.RecordBatch], short_lines: bool) -> Iterator[dict[
             yield found
 
 
-def band_rows(docs: DataFrame, short_lines: bool) -> DataFrame:
+def band_rows(short_lines: bool):
     """key (of a band), doc (the line's digest)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for found in once(batches, short_lines):
             if found:
                 keys = band_keys(signatures_of(list(found.values())))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(list(found), np.int64), BANDS))], ["key", "doc"])
+                yield [keys.ravel(), np.repeat(np.array(list(found), np.int64), BANDS)]
 
-    return docs.mapInArrow(run, "key long, doc long")
+    return make
 
 
 def node_table(docs: DataFrame, wanted: DataFrame, short_lines: bool) -> DataFrame:
@@ -166,7 +172,7 @@ def node_table(docs: DataFrame, wanted: DataFrame, short_lines: bool) -> DataFra
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = batch.column("line").to_pylist()
-            signs, sizes = signatures_of(lines), [len(shingles(line)) for line in lines]
+            signs, sizes = signatures_of(lines), [len(x) for x in shingle_sets(lines)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array([s.tobytes() for s in signs], pa.binary())], ["node", "line", "n_shingles", "signature"])
 
     lines = docs.mapInArrow(texts, "node long, line binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
@@ -182,7 +188,8 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                fine = [linked(shingles(x), shingles(y), PERCENT) for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True)]
+                left, right = (shingle_sets(batch.column(c).to_pylist()) for c in ("la", "lb"))
+                fine = [linked(x, y, PERCENT) for x, y in zip(left, right, strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(fine))
 
     return both.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
@@ -191,14 +198,14 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def line_components(docs: DataFrame, short_lines: bool) -> DataFrame:
     """node, component for the lines (digests) that are linked with another."""
     spark = docs.sparkSession
-    index = first_documents(band_rows(docs, short_lines), "key", drop_unique=True)
+    index = meet(docs, band_rows(short_lines), ["key", "doc"], "key", bucket_bits(docs), want=SHARED)
     index = Stage(index.select("key", F.col("doc").alias("node")).distinct()).df
     release(spark)
     nodes = Stage(node_table(docs, index.select("node").distinct(), short_lines)).df
     release(spark)
     first = index.where((F.col("key").bitwiseAND(F.lit(BANDS - 1))) < FIRST_BANDS)
     full = nodes.withColumnRenamed("line", "content")
-    return connect(first, index, lambda pairs: verified(pairs, nodes), lambda labels: across(index, labels, full, first_band, shingles, number_bits=BANDS.bit_length() - 1, symbols=SYMBOLS, far=FAR, percent=PERCENT))
+    return connect(first, index, lambda pairs: verified(pairs, nodes), lambda labels: across(index, labels, full, first_band, lambda column: shingle_sets(column.to_pylist()), number_bits=BANDS.bit_length() - 1, symbols=SYMBOLS, far=FAR, percent=PERCENT))
 
 
 def occurrences(docs: DataFrame, short_lines: bool) -> DataFrame:
@@ -236,6 +243,8 @@ def rest_of(text: bytes, known: list[dict], short_lines: bool) -> tuple[bytes, i
     """The text without its lost lines, how many lines count, how many are lost."""
     by, met, kept, considered = {x["node"]: x for x in known}, set(), [], 0
     lines = text.split(b"\n")
+    if not by:
+        return text, sum(counts(line, short_lines) for line in lines), 0
     for line in lines:
         if counts(line, short_lines):
             considered += 1

@@ -117,17 +117,18 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                columns = []
-                for name in ("sa", "sb"):
-                    offsets, raw = string_buffers(batch.column(name))
-                    columns.append((offsets // 8, np.frombuffer(raw.tobytes(), np.uint64)))
-                (oa, a), (ob, b) = columns
-                fine = [linked(a[oa[i] : oa[i + 1]], b[ob[i] : ob[i + 1]], PERCENT) for i in range(batch.num_rows)]
+                fine = [linked(x, y, PERCENT) for x, y in zip(stored_sets(batch.column("sa")), stored_sets(batch.column("sb")), strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(fine))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def stored_sets(column: pa.Array) -> list[np.ndarray]:
+    offsets, raw = string_buffers(column)
+    values = np.frombuffer(raw.tobytes(), np.uint64)
+    return [values[a // 8 : b // 8] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 def set_table(df: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """node, set (bytes of the sorted shingles) for the wanted nodes, from their whole texts."""
 
@@ -173,13 +174,14 @@ def first_common(same: np.ndarray) -> np.ndarray:
     return chunk * CHUNK + other[np.arange(len(other)), chunk].argmax(1)
 
 
-def across(index: DataFrame, labels: DataFrame, nodes: DataFrame, first: Callable[[np.ndarray], np.ndarray], set_of: Callable[[bytes], np.ndarray], *, number_bits: int = NUMBER_BITS, symbols: int = SYMBOLS, far: int = FAR, percent: int = PERCENT) -> DataFrame:
+def across(index: DataFrame, labels: DataFrame, nodes: DataFrame, first: Callable[[np.ndarray], np.ndarray], sets_of: Callable[[pa.Array], list[np.ndarray]], *, number_bits: int = NUMBER_BITS, symbols: int = SYMBOLS, far: int = FAR, percent: int = PERCENT) -> DataFrame:
     """Links a, b between different components that share a bucket, decided on the full sets inside the tasks.
 
-    nodes: node, n_shingles, signature, content (from which set_of makes the set). A task reads the buckets one after
-    another, two blocks at a time; of their pairs it takes those of different components, near signatures and no earlier
-    key in common (first(), against the number in the key's low bits), so that a pair is decided once. Components that a
-    link joins count as one from then on, so a bucket gives fewer links than it has members.
+    nodes: node, n_shingles, signature, content (of which sets_of makes the sets). A task reads the buckets one after
+    another, two blocks at a time, and goes through the pairs of all buckets it holds by their distance in the order; it
+    takes those of different components, near signatures and no earlier key in common (first(), against the number in the
+    key's low bits), so that a pair is decided once. Components that a link joins count as one from then on, so a bucket
+    gives fewer links than it has members.
     """
     rows = labelled(index, labels)
     several = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
@@ -190,57 +192,51 @@ def across(index: DataFrame, labels: DataFrame, nodes: DataFrame, first: Callabl
     rows = rows.select("key", "node", "component", "n_shingles", "signature", "content", "block", other)
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n_shingles", "node", "component", "signature", "content", "block")
 
-    def links_in(bucket: pa.RecordBatch) -> list[tuple[int, int]]:
-        n = bucket.num_rows
-        if n < 2:
-            return []
-        here, apart = bucket.column("key")[0].as_py() & ((1 << number_bits) - 1), bucket.column("i")[0].as_py() != bucket.column("j")[0].as_py()
-        size, node, block = (np.asarray(bucket.column(c)) for c in ("n_shingles", "node", "block"))
-        label, sign = np.array(bucket.column("component")), signatures(bucket.column("signature"), symbols)
-        content, found, sets = bucket.column("content"), [], {}
-        for k in range(n - 1):
-            stop = int(np.searchsorted(size, size[k] * 100 // percent, "right"))
-            at = k + 1 + np.flatnonzero(label[k + 1 : stop] != label[k])
-            if apart:
-                at = at[block[at] != block[k]]
-            if not len(at):
+    def links_in(rows: pa.RecordBatch, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links of whole buckets; bucket numbers the rows' buckets, which stand one after another."""
+        here = np.asarray(rows.column("key")) & ((1 << number_bits) - 1)
+        size, node, block = (np.asarray(rows.column(c)) for c in ("n_shingles", "node", "block"))
+        apart = np.asarray(rows.column("i")) != np.asarray(rows.column("j"))
+        label, sign = np.array(rows.column("component")), signatures(rows.column("signature"), symbols)
+        found, sets = [], None
+        for step in range(1, rows.num_rows):
+            a = np.flatnonzero(bucket[step:] == bucket[:-step])
+            if not len(a):
+                break
+            b = a + step
+            fine = (label[a] != label[b]) & (size[b] * percent <= size[a] * 100) & (~apart[a] | (block[a] != block[b]))
+            a, b = a[fine], b[fine]
+            if not len(a):
                 continue
-            same = sign[at] == sign[k]
+            same = sign[a] == sign[b]
             fine = same.sum(1) >= symbols - far
-            fine[fine] = first(same[fine]) == here
-            for x in at[fine].tolist():
-                if label[x] != label[k]:
-                    for y in (k, x):
-                        if y not in sets:
-                            sets[y] = set_of(content[y].as_py())
-                    if linked(sets[k], sets[x], percent):
-                        found.append((min(node[k], node[x]), max(node[k], node[x])))
-                        label[label == label[x]] = label[k]
-            sets.pop(k, None)
-        return found
+            fine[fine] = first(same[fine]) == here[a[fine]]
+            for x, y in zip(a[fine].tolist(), b[fine].tolist(), strict=True):
+                if label[x] != label[y]:
+                    sets = sets_of(rows.column("content")) if sets is None else sets
+                    if linked(sets[x], sets[y], percent):
+                        found.append((min(node[x], node[y]), max(node[x], node[y])))
+                        label[label == label[y]] = label[x]
+        if found:
+            x, y = zip(*found, strict=True)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the rows of a bucket of which more may come: two blocks at most
-
-        def emit(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if held:
-                batch = pa.concat_batches([*held, batch])
-            names = [np.asarray(batch.column(c)) for c in ("key", "i", "j")]
-            starts = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in names], axis=0)])).tolist()
-            found = []
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                found += links_in(batch.slice(s, e - s))
-            yield from emit(found)
-            held = [batch.slice(starts[-1])]
+            whole = pa.concat_batches([*held, batch])
+            names = [np.asarray(whole.column(c)) for c in ("key", "i", "j")]
+            starts = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in names], axis=0)])
+            cut = int(np.flatnonzero(starts)[-1])
+            if cut:
+                yield from links_in(whole.slice(0, cut), np.cumsum(starts[:cut]))
+                held = []
+            held = [whole.slice(cut)] if cut or not held else [*held, batch]
         if held:
-            yield from emit(links_in(held[0]))
+            last = pa.concat_batches(held)
+            yield from links_in(last, np.zeros(last.num_rows, np.int64))
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n_shingles", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -272,7 +268,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     sets = Stage(set_table(df, index.select("node").distinct(), id_col=id_col, text_col=text_col)).df
     first = indexed(whole.join(index.select("node").distinct(), "node", "left_semi"), FIRST_CHUNKS)
     full = unique.join(sets.withColumnRenamed("set", "content"), "node")
-    labels = connect(first, index, lambda pairs: verified(near(Stage(pairs).df, unique), sets), lambda labels: across(index, labels, full, first_common, lambda x: np.frombuffer(x, np.uint64)))
+    labels = connect(first, index, lambda pairs: verified(near(Stage(pairs).df, unique), sets), lambda labels: across(index, labels, full, first_common, stored_sets))
     named = nodes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     rows = made.join(Stage(named).df, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component"))

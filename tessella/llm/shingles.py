@@ -27,6 +27,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which is faster than np.unique's hash table."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def size_class(n: int) -> int:
     return 1 << max(16, int(n).bit_length())
 
@@ -62,7 +68,7 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, words: int = WORDS) -> l
     out = []
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         if b - a >= words:
-            out.append(np.unique(sums[a : b - words + 1]))
+            out.append(distinct(sums[a : b - words + 1]))
         elif b > a:
             out.append(mixed(np.array([(hashes[a:b] * weights[: b - a]).sum() + np.uint64(b - a)], np.uint64)))
         else:
