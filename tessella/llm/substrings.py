@@ -2,9 +2,9 @@
 
 A byte goes when a string of LENGTH bytes that covers it also starts in a document with a smaller id. Strings are ranked
 by prefix doubling: first by their first half, then by the pair of the ranks of both halves, which covers
-the threshold. Spark sorts (rank, document) rows of all positions that are still open; a rank that one document alone
-has is unique, and its positions are dropped before the next round. Ranks are 64-bit fingerprints, so that a rank needs
-no numbering pass; two different strings share one with a chance of 2**-64.
+the threshold. Spark brings the (rank, document) rows of all positions that are still open together in order of rank's
+buckets; a rank that one document alone has is unique, and its positions are dropped before the next round. Ranks are
+64-bit fingerprints, so that a rank needs no numbering pass; two different strings share one with a chance of 2**-64.
 
 Not every position takes part in the first sort. The window of LENGTH bytes at a position holds LENGTH / 2 + 1
 half-length strings; the leftmost of those with the least fingerprint stands for the window (its anchor), and equal
@@ -13,9 +13,8 @@ windows have equal anchors. So windows can only be equal when their anchors' ran
 one string; where a block is in an earlier document, all its windows are. Only windows of blocks that aren't, under
 anchors that still matter, are ranked one by one.
 
-Sorted rows are read as a stream that remembers the first document of the current rank: no rank's rows are gathered, and
-what comes together for one document is bounded by its own length. A document has a rank once at most, so a string that
-every document has still spreads over as few rows per document as any other.
+Of a rank that many documents share, a task sends the rows of one document to the rank's bucket (tessella.llm.meeting);
+what comes together for one document is bounded by its own length.
 
 Defined results: a null or empty text has no bytes and loses none; rows with equal ids don't remove each other's bytes; a
 row with a null id is in no order, so it loses nothing and takes nothing; an empty table gives no rows; other columns of
@@ -33,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Stage, others, release, ship, slices, string_buffers
-from tessella.llm.shingles import mixed, size_class
+from tessella.llm.meeting import ALL, LATER, SHARED, bucket_bits, meet
+from tessella.llm.shingles import distinct, mixed, size_class
 from tessella.llm.words import INVERSE, MULT, powers
 
 LENGTH = 50
@@ -109,88 +109,38 @@ def texts_of(part: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield data[a:b]
 
 
-def longs(*columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array((np.concatenate(c) if c else np.zeros(0, np.int64)).view(np.int64)) for c in columns], names)
-
-
-def anchor_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def anchor_rows(length: int = LENGTH):
     """rank (of the anchor), block (rank of the block), doc: once for each document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids = np.asarray(part.column("doc"))
-                rank, block, doc = [], [], []
-                for i, text in zip(ids.tolist(), texts_of(part), strict=True):
-                    if len(text) >= length:
-                        _, _, r, b, _ = blocks(text, length)
-                        _, at = np.unique(mixed(r) ^ b, return_index=True)
-                        rank.append(r[at])
-                        block.append(b[at])
-                        doc.append(np.full(len(at), i, np.int64))
-                yield longs(rank, block, doc, names=["rank", "block", "doc"])
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            for i, text in zip(np.asarray(part.column("doc")).tolist(), texts_of(part), strict=True):
+                if len(text) >= length:
+                    _, _, r, b, _ = blocks(text, length)
+                    _, at = np.unique(mixed(r) ^ b, return_index=True)
+                    yield [r[at].view(np.int64), b[at].view(np.int64), np.full(len(at), i, np.int64)]
 
-    return docs.mapInArrow(run, "rank long, block long, doc long")
+    return make
 
 
-def first_documents(rows: DataFrame, key: str, *, drop_unique: bool) -> DataFrame:
-    """Adds `first`, the smallest doc with the row's key. Spark sorts by (key, doc); runs of a key are read as a stream.
+def window_rows(length: int = LENGTH):
+    """rank, doc for the windows of the open blocks of documents joined with them (column `open`)."""
 
-    drop_unique: keys of a single document are left out.
-    """
-    names = rows.columns
-    where_key, where_doc = names.index(key), names.index("doc")
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            for i, text, wants in zip(np.asarray(part.column("doc")).tolist(), texts_of(part), lists_of(part.column("open")), strict=True):
+                if len(text) >= length:
+                    first, last, _, block, halves = blocks(text, length)
+                    at = windows_in(first, last, np.isin(block.view(np.int64), wants))
+                    rank = distinct(window_ranks(halves, at, length)).view(np.int64)
+                    yield [rank, np.full(len(rank), i, np.int64)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] | None = None  # rows of the current key, all of its first document
-        known: tuple[int, int] | None = None  # a key of which more may come, and its first document
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [np.asarray(c) for c in batch.columns]
-            if waiting is not None:
-                columns = [np.concatenate(x) for x in zip(waiting, columns, strict=True)]
-                waiting = None
-            keys, docs = columns[where_key], columns[where_doc]
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            stops = np.append(starts[1:], len(keys))
-            first = docs[starts]
-            shared = docs[stops - 1] != first
-            if known is not None and known[0] == keys[0]:
-                first[0], shared[0] = known[1], True
-            cut = len(keys)
-            if drop_unique and not shared[-1]:
-                cut = int(starts[-1])
-                waiting, known = [c[cut:] for c in columns], None
-            else:
-                known = (int(keys[-1]), int(first[-1]))
-            sizes = stops - starts
-            take = np.repeat(shared, sizes) if drop_unique else np.ones(len(keys), bool)
-            take[cut:] = False
-            if take.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[take]) for c in [*columns, np.repeat(first, sizes)]], [*names, "first"])
-
-    schema = ", ".join(f"{n} long" for n in [*names, "first"])
-    return rows.repartition(key).sortWithinPartitions(key, "doc").mapInArrow(run, schema)
-
-
-def window_rows(docs: DataFrame, open_blocks: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rank, doc for the windows of the open blocks (doc, block)."""
-    wanted = open_blocks.groupBy("doc").agg(F.collect_set("block").alias("open"))
+    return make
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids, rank, doc = np.asarray(part.column("doc")), [], []
-                for i, text, wants in zip(ids.tolist(), texts_of(part), lists_of(part.column("open")), strict=True):
-                    if len(text) >= length:
-                        first, last, _, block, halves = blocks(text, length)
-                        at = windows_in(first, last, np.isin(block.view(np.int64), wants))
-                        rank.append(np.unique(window_ranks(halves, at, length)))
-                        doc.append(np.full(len(rank[-1]), i, np.int64))
-                yield longs(rank, doc, names=["rank", "doc"])
 
-    return docs.join(wanted, "doc").select("doc", "text", "open").mapInArrow(run, "rank long, doc long")
+def table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for batch in batches:
+        yield [np.asarray(c).astype(np.int64) for c in batch.columns]
 
 
 def windows_in(first: np.ndarray, last: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -230,16 +180,18 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), others(df, text_col).alias("_row"), F.col(f"`{text_col}`").alias("text"))
     docs = rows.where("doc is not null and text is not null").select("doc", "text")
-    shared = Stage(first_documents(anchor_rows(docs, length), "rank", drop_unique=True))
+    bits = bucket_bits(docs)
+    shared = Stage(meet(docs, anchor_rows(length), ["rank", "block", "doc"], "rank", bits, want=SHARED))
     release(spark)
-    ranked = first_documents(shared.df.withColumnRenamed("first", "rank_first"), "block", drop_unique=False)
-    ranked = Stage(ranked.select("rank", "block", "doc", (F.col("doc") > F.col("first")).alias("gone"), (F.col("doc") > F.col("rank_first")).alias("later")))
+    rows_in = shared.df.select("rank", "block", "doc", F.col("later").cast("long").alias("rank_later"))
+    ranked = meet(rows_in, table_rows, rows_in.columns, "block", bits, want=ALL)
+    ranked = Stage(ranked.select("rank", "block", "doc", F.col("later").alias("gone"), (F.col("rank_later") == 1).alias("later")))
     shared.drop()
     release(spark)
     blocks_gone = Stage(ranked.df.where("gone").select("doc", "block")).df
     matters = ranked.df.where("not gone and later").select("rank").distinct()
-    still_open = ranked.df.where("not gone").join(matters, "rank", "left_semi").select("doc", "block")
-    windows = first_documents(window_rows(docs, still_open, length), "rank", drop_unique=True).where("doc > first")
+    still_open = ranked.df.where("not gone").join(matters, "rank", "left_semi").groupBy("doc").agg(F.collect_set("block").alias("open"))
+    windows = meet(docs.join(still_open, "doc").select("doc", "text", "open"), window_rows(length), ["rank", "doc"], "rank", bits, want=LATER)
     windows = Stage(windows.select("doc", "rank")).df
     ranked.drop()
     del matters, still_open
