@@ -95,6 +95,10 @@ def snap(pts: Column, step: float) -> Column:
 
 def drop_repeated(pts: Column, tolerance: float) -> Column:
     """Leaves out points within the tolerance of the last one kept; the end point always stays."""
+    if tolerance == 0:
+        # equal neighbours alone: no list grows point by point
+        apart = lambda line: F.filter(line, lambda p, i: (i == 0) | (distance(F.get(line, i - 1), p) > 0))
+        return F.get(F.transform(F.array(pts), apart), 0)
     empty = F.array().cast("array<struct<x:double,y:double>>")
     kept = F.aggregate(pts, empty, lambda s, p: F.when(F.size(s) == 0, F.array(p)).when(distance(F.get(s, F.size(s) - 1), p) <= tolerance, s).otherwise(F.concat(s, F.array(p))))
     end = F.element_at(pts, -1)
@@ -179,3 +183,26 @@ def chaikin(pts: Column, rounds: int = 1, **limits: float) -> Column:
 def half_plane(a: Column, b: Column, p: Column) -> Column:
     """1, 0 or -1: p left of, on, or right of the line from a to b."""
     return F.signum((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]))
+
+
+def translate(pts: Column, dx: float, dy: float) -> Column:
+    return F.transform(pts, lambda p: point(p["x"] + dx, p["y"] + dy))
+
+
+def make_line(a: Column, b: Column) -> Column:
+    return F.array(a, b)
+
+
+def crossing_direction(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """How the segment from a to b crosses the one from c to d: -1 to its left, 1 to its right, 0 if it doesn't.
+
+    An end of a-b on the line of c-d counts as to the right of it.
+    """
+    left = lambda p: half_plane(c, d, p) > 0
+    through = half_plane(a, b, c) * half_plane(a, b, d) < 0
+    return F.when(through & ~left(a) & left(b), -1).when(through & left(a) & ~left(b), 1).otherwise(0)
+
+
+def optional(geometry: Column | None, predicate) -> Column:
+    """A predicate on a geometry that may be missing: true without one, and where its value is null."""
+    return F.lit(True) if geometry is None else F.coalesce(predicate(geometry), F.lit(True))

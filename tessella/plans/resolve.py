@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import chaikin
+from tessella.functions.kernels import contains_point
 from tessella.operators import faces as faces_
 from tessella.operators.lines import chains, merged_lines, simplified
-from tessella.operators.noding import node, segments_of
+from tessella.operators.noding import ENDS, node, segments_of
+from tessella.operators.overlap import assign
 from tessella.operators.tables import written
 
 STAGES = ("segments", "nodes", "faces", "attributes")
@@ -69,11 +69,13 @@ class Result:
     options: RunOptions = field(default_factory=RunOptions)
 
 
-def resolve(polygons: DataFrame, topology: TopologySpec, clean: CleanSpec | None = None, options: RunOptions | None = None, *, pk: str = "pk", rings: str = "rings") -> Result:
+def resolve(polygons: DataFrame, topology: TopologySpec, clean: CleanSpec | None = None, options: RunOptions | None = None, *, pk: str = "pk", rings: str = "rings", fixed: DataFrame | None = None) -> Result:
     """polygons: pk, rings (array of closed rings of points, shell first) and any other columns.
 
+    fixed: points (x, y) that stay nodes when lines are simplified and smoothed.
+
     Returns faces, edges with the faces at their sides, and attributes: per face all columns of the polygon that covers
-    most of it (the largest pk among equals), `others` (pks of further ones), `input_is_valid` (true where one covers it,
+    most of its area, if that is over half of it (the largest pk among equals), `others` (pks of further ones over half), `input_is_valid` (true where one covers it,
     false where only the box of an invalid polygon meets it, else null). Rows whose rings are null are read over; rows
     of an invalid ring (not closed, or under four points) lend their lines but never cover a face.
     """
@@ -94,9 +96,10 @@ def resolve(polygons: DataFrame, topology: TopologySpec, clean: CleanSpec | None
         result.edges = lines
         return result
     noded, result.rejects = node(lines, cell)
+    whole, changed = noded, clean.min_area > 0 or clean.simplify_tolerance > 0 or clean.chaikin_rounds > 0
     if clean.simplify_tolerance > 0 or clean.chaikin_rounds > 0:
         # a line between nodes borders two faces at most, so both see the same new line
-        noded, result.rejects = node(reshaped(noded, clean, step), cell)
+        noded, result.rejects = node(reshaped(noded, clean, step, fixed_nodes(fixed, x0, y0, step)), cell)
     result.edges = noded
     if options.stop_after == "nodes":
         return result
@@ -112,13 +115,25 @@ def resolve(polygons: DataFrame, topology: TopologySpec, clean: CleanSpec | None
         result.edges = written(faces_.edges_of(cycled))
     if options.stop_after == "faces":
         return result
-    result.attributes = attributes(result, source, step, cell, pk=pk, rings=rings)
+    atoms = None
+    if changed:
+        # faces no longer lie wholly in or outside a polygon: the lines of both part them into pieces that do
+        overlay, _ = node(whole.select(*ENDS).unionAll(result.edges.select(*ENDS)).distinct(), cell)
+        atoms = written(faces_.faces(written(faces_.cycles(overlay)), cell))
+    result.attributes = attributes(result, source, step, cell, pk=pk, rings=rings, atoms=atoms)
     return result
 
 
-def reshaped(segments: DataFrame, clean: CleanSpec, step: float) -> DataFrame:
+def fixed_nodes(fixed: DataFrame | None, x0: float, y0: float, step: float) -> DataFrame | None:
+    """Points (x, y) in units of the layer as nodes of the lattice."""
+    if fixed is None:
+        return None
+    return fixed.select(F.rint((F.col("x") - x0) / step).cast("long").alias("x"), F.rint((F.col("y") - y0) / step).cast("long").alias("y")).distinct()
+
+
+def reshaped(segments: DataFrame, clean: CleanSpec, step: float, fixed: DataFrame | None = None) -> DataFrame:
     """The segments of the healed lines, simplified and smoothed, on the lattice."""
-    lines = merged_lines(chains(segments))
+    lines = merged_lines(chains(segments, fixed))
     if clean.simplify_tolerance > 0:
         lines = simplified(lines, clean.simplify_tolerance / step, clean.simplify_max_average_vertex_length / step)
     if clean.chaikin_rounds > 0:
@@ -127,12 +142,15 @@ def reshaped(segments: DataFrame, clean: CleanSpec, step: float) -> DataFrame:
     return written(segments_of(lines.select(F.array("pts").alias("rings")), 1.0))
 
 
-def merge_small(result: Result, least: float) -> DataFrame | None:
+def merge_small(result: Result, least: float, keep: DataFrame | None = None) -> DataFrame | None:
     """Segments without the longest edge of each face under `least` (lattice units); null when there is none to remove.
 
-    A longest edge between a face and the outside goes as well, which merges the face outward.
+    A longest edge between a face and the outside goes as well: the face is then no face any more, and its area is lost.
+    keep: faces (column face) that are never removed.
     """
     small = result.faces.where(F.col("area2") < 2 * least).select("face", "area2")
+    if keep is not None:
+        small = small.join(keep.select("face"), "face", "left_anti")
     length = F.pow(F.col("x2") - F.col("x1"), F.lit(2)) + F.pow(F.col("y2") - F.col("y1"), F.lit(2))
     sides = result.edges.where("left <> right")
     sides = sides.select("x1", "y1", "x2", "y2", F.col("left").alias("face"), length.alias("l")).unionAll(sides.select("x1", "y1", "x2", "y2", "right", length))
@@ -143,29 +161,49 @@ def merge_small(result: Result, least: float) -> DataFrame | None:
     return written(result.edges.select("x1", "y1", "x2", "y2").join(longest.select("e.*").distinct(), ["x1", "y1", "x2", "y2"], "left_anti"))
 
 
-def attributes(result: Result, source: DataFrame, step: float, cell: int, *, pk: str, rings: str) -> DataFrame:
-    x0, y0 = result.origin
-    lattice = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(F.rint((p["x"] - x0) / step).alias("x"), F.rint((p["y"] - y0) / step).alias("y"))))
+def lattice_polygons(source: DataFrame, step: float, origin: tuple[float, float], *, pk: str, rings: str) -> DataFrame:
+    """pk, rings (flat, on the lattice), sound (closed rings of four points at least) and box of every polygon."""
+    x0, y0 = origin
+    lattice = F.transform(rings, lambda r: F.flatten(F.transform(r, lambda p: F.array(F.rint((p["x"] - x0) / step), F.rint((p["y"] - y0) / step)))))
     sound = ~F.exists(rings, lambda r: (F.size(r) < 4) | (F.get(r, 0) != F.element_at(r, -1)))
     p = source.select(F.col(pk).alias("pk"), lattice.alias("rings"), sound.alias("sound"))
-    xs, ys = F.transform(F.flatten("rings"), lambda q: q["x"]), F.transform(F.flatten("rings"), lambda q: q["y"])
-    p = p.select("pk", "rings", "sound", F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
+    xs, ys = F.flatten(F.transform("rings", lambda r: F.filter(r, lambda v, i: i % 2 == 0))), F.flatten(F.transform("rings", lambda r: F.filter(r, lambda v, i: i % 2 == 1)))
+    return p.select("pk", "rings", "sound", F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
+
+
+def in_boxes(rows: DataFrame, cell: int) -> DataFrame:
+    """Rows once for each cell that their box meets."""
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    spread = p.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
-    points = result.faces.select("face", "ix", "iy", F.floor(F.col("ix") / cell).alias("cx"), F.floor(F.col("iy") / cell).alias("cy"))
-    near = points.join(spread.where("sound"), ["cx", "cy"]).where("ix between xmin and xmax and iy between ymin and ymax")
+    return rows.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
 
-    @F.pandas_udf("boolean")
-    def covers(rings: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(rs, a, b) -> bool:
-            arrays = [np.array([(q["x"], q["y"]) for q in r], np.float64) for r in rs]
-            return sum(faces_.inside(r, a, b) for r in arrays) % 2 == 1
 
-        return pd.Series([one(*v) for v in zip(rings, x, y, strict=True)], dtype="bool")
+def holders(points: DataFrame, areas: DataFrame, cell: int, name: str) -> DataFrame:
+    """points (face, ix, iy) with `name` of every area (name, flat rings, box) that has the point inside."""
+    at = points.select("face", "ix", "iy", F.floor(F.col("ix") / cell).alias("cx"), F.floor(F.col("iy") / cell).alias("cy"))
+    near = at.join(in_boxes(areas.select(name, "rings", "xmin", "ymin", "xmax", "ymax"), cell), ["cx", "cy"]).where("ix between xmin and xmax and iy between ymin and ymax")
+    return near.where(contains_point("rings", "ix", "iy")).select("face", name).distinct()
 
-    hits = near.where(covers("rings", "ix", "iy")).groupBy("face").agg(F.sort_array(F.collect_list("pk"), asc=False).alias("pks"))
-    best = hits.select("face", F.get("pks", 0).alias("pk"), F.slice("pks", 2, F.size("pks")).alias("others"))
-    invalid = spread.where("not sound").select("cx", "cy", F.col("xmin").alias("a"), F.col("ymin").alias("b"), F.col("xmax").alias("c"), F.col("ymax").alias("d"))
+
+def shares(faces: DataFrame, polygons: DataFrame, cell: int, atoms: DataFrame | None = None) -> DataFrame:
+    """face, pk, share of the face's area that the polygons of that pk cover, where they cover some.
+
+    atoms: faces of the noded lines of both, each of which lies in one face and wholly in or outside each polygon. Without
+    them the faces are those of the polygons' own noded lines.
+    """
+    covered = holders(faces if atoms is None else atoms, polygons.where("sound"), cell, "pk")
+    if atoms is None:
+        return covered.withColumn("share", F.lit(1.0))
+    flat = faces.select(F.col("face").alias("of"), F.col("rings").cast("array<array<double>>").alias("rings"), "xmin", "ymin", "xmax", "ymax")
+    placed = holders(atoms, flat, cell, "of").join(atoms.select("face", "area2"), "face").join(covered, "face")
+    sums = placed.groupBy(F.col("of").alias("face"), "pk").agg(F.sum("area2").alias("part"))
+    return sums.join(faces.select("face", "area2"), "face").select("face", "pk", (F.col("part") / F.col("area2")).alias("share"))
+
+
+def attributes(result: Result, source: DataFrame, step: float, cell: int, *, pk: str, rings: str, atoms: DataFrame | None = None) -> DataFrame:
+    p = lattice_polygons(source, step, result.origin, pk=pk, rings=rings)
+    best = assign(shares(result.faces, p, cell, atoms))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    invalid = in_boxes(p.where("not sound"), cell).select("cx", "cy", F.col("xmin").alias("a"), F.col("ymin").alias("b"), F.col("xmax").alias("c"), F.col("ymax").alias("d"))
     boxes = result.faces.select("face", "xmin", "ymin", "xmax", "ymax").withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
     bad = boxes.join(invalid, ["cx", "cy"]).where("xmin <= c and xmax >= a and ymin <= d and ymax >= b").select("face").distinct().withColumn("bad", F.lit(True))
     out = result.faces.select("face", (F.col("area2") / 2 * step * step).alias("area"), "rings").join(best, "face", "left").join(bad, "face", "left")
@@ -175,6 +213,11 @@ def attributes(result: Result, source: DataFrame, step: float, cell: int, *, pk:
     return out.join(rest, F.col("_pk") == rest[pk], "left").drop("_pk")
 
 
+def routed(result: Result, *, attribute_mode: bool) -> dict[str, DataFrame]:
+    """The tables that a run writes: with attributes at faces and edges face_attributes alone, else one result."""
+    return {"face_attributes": result.attributes} if attribute_mode else {"result": result.attributes}
+
+
 def validate(edges: DataFrame) -> DataFrame:
     """Violations of a noded layer, one row each: segments that cross or touch inside (kind, x1, y1, x2, y2)."""
     from tessella.operators.noding import crossings, touched

@@ -79,6 +79,26 @@ def rings_of(column: str | Column) -> Column:
     return decode(column)
 
 
+def srid_of(column: str | Column) -> Column:
+    """The SRID of an EWKB column; null in plain WKB."""
+
+    @F.pandas_udf("int")
+    def decode(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else read(bytes(v))[1] for v in values], dtype="Int32")
+
+    return decode(column)
+
+
+def text_of(column: str | Column) -> Column:
+    """WKT of a column of a polygon's rings."""
+
+    @F.pandas_udf("string")
+    def encode(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else to_text(POLYGON, [[(p["x"], p["y"]) for p in ring] for ring in v]))
+
+    return encode(column)
+
+
 def polygons_of(column: str | Column, srid: int | None = None) -> Column:
     """WKB (EWKB with an SRID) of a column of rings."""
 

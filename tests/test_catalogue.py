@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import tessella.plans.planar_catalogue  # noqa: F401  registers its queries
 from tessella.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
