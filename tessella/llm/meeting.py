@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessella.llm.shingles import mixed
 
 #: Rows that a task packs together, and bytes of text for each bucket.
-FLUSH, BUCKET_BYTES = 1 << 20, 8 << 20
+FLUSH, BUCKET_BYTES = 1 << 18, 8 << 20
 #: Which rows come out.
 ALL, SHARED, LATER = 0, 1, 2
 ALONE, FIRST, DECIDED = 0, 1, 2

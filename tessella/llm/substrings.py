@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Stage, others, release, ship, slices, string_buffers
+from tessella.llm.common import Stage, others, release, ship, slices, squeezed, string_buffers, unsqueezed
 from tessella.llm.meeting import ALL, LATER, SHARED, bucket_bits, meet
 from tessella.llm.shingles import distinct, mixed, size_class
 from tessella.llm.words import INVERSE, MULT, powers
@@ -124,10 +124,10 @@ def anchor_rows(length: int = LENGTH):
 
 
 def window_rows(length: int = LENGTH):
-    """rank, doc for the windows of the open blocks of documents joined with them (column `open`)."""
+    """rank, doc for the windows of the open blocks of documents (squeezed) joined with them (column `open`)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        for part in (p for batch in batches for p in slices(batch, "text")):
+        for part in (p for batch in unsqueezed(batches) for p in slices(batch, "text")):
             for i, text, wants in zip(np.asarray(part.column("doc")).tolist(), texts_of(part), lists_of(part.column("open")), strict=True):
                 if len(text) >= length:
                     first, last, _, block, halves = blocks(text, length)
@@ -191,7 +191,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     blocks_gone = Stage(ranked.df.where("gone").select("doc", "block")).df
     matters = ranked.df.where("not gone and later").select("rank").distinct()
     still_open = ranked.df.where("not gone").join(matters, "rank", "left_semi").groupBy("doc").agg(F.collect_set("block").alias("open"))
-    windows = meet(docs.join(still_open, "doc").select("doc", "text", "open"), window_rows(length), ["rank", "doc"], "rank", bits, want=LATER)
+    windows = meet(squeezed(docs).join(still_open, "doc").select("doc", "text", "open"), window_rows(length), ["rank", "doc"], "rank", bits, want=LATER)
     windows = Stage(windows.select("doc", "rank")).df
     ranked.drop()
     del matters, still_open
@@ -201,7 +201,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     gone = gone.groupBy("doc").agg(F.collect_set("block").alias("gone_blocks"), F.collect_list("window").alias("gone_windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in unsqueezed(batches):
             for part in slices(batch, "text"):
                 size, lost, spans, kept = [], [], [], []
                 for text, b, w in zip(texts_of(part), lists_of(part.column("gone_blocks")), lists_of(part.column("gone_windows")), strict=True):
@@ -219,7 +219,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return pa.array([k.decode("utf-8", "ignore") if t else None for k, t in zip(kept, there, strict=True)], pa.string())
 
     kind = rows.schema["_row"].dataType.simpleString()
-    rows = rows.join(gone, "doc", "left").select("_row", "text", "gone_blocks", "gone_windows")
+    rows = squeezed(rows).join(gone, "doc", "left").select("_row", "text", "gone_blocks", "gone_windows")
     return rows.mapInArrow(run, f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
