@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessella.llm import quality
-from tests.llm import test_lines, test_neardup
+from tests.llm import test_neardup, test_short_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +33,8 @@ def test_against_brute_force(spark):
     kept = {r[0] for r in table.sql(f"select doc_id from ({quality.OP1_SQL}) where kept").fetchall()}
     want = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in kept)
     steps = [want]
-    steps.append(sorted(test_lines.brute(steps[-1])))
+    # the stage takes short lines too
+    steps.append(test_short_lines.brute(steps[-1]))
     groups = test_neardup.brute(steps[-1])
     steps.append([r for r in steps[-1] if groups[r[0]][2]])
     steps.append(removed(steps[-1]))
