@@ -21,17 +21,17 @@ from pyspark.sql import functions as F
 from tessella.llm.shingles import mixed
 
 #: Rows that a task packs together, and bytes of text for each bucket.
-FLUSH, BUCKET_BYTES = 1 << 18, 8 << 20
+FLUSH, BUCKET_BYTES = 1 << 17, 2 << 20
 #: Which rows come out.
 ALL, SHARED, LATER = 0, 1, 2
 ALONE, FIRST, DECIDED = 0, 1, 2
 
 
 def bucket_bits(docs: DataFrame, text_col: str = "text") -> int:
-    """Buckets as a power of two: four for each shuffle partition at least, and more where texts are many."""
+    """Buckets as a power of two: one for each shuffle partition at least, and more where texts are many."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4 * parts, size // BUCKET_BYTES, 2).bit_length()
+    return max(parts, size // BUCKET_BYTES, 2).bit_length()
 
 
 def runs(keys: np.ndarray) -> np.ndarray:
@@ -81,7 +81,7 @@ def packed(columns: list[np.ndarray], key: int, doc: int, bits: int) -> pa.Recor
         bucket.append(int(where[a]))
         data.append(block([c[a:b] for c in part], doc, mark[a:b]))
     part = [c[late] for c in columns]
-    n, step = len(part[doc]), 4096
+    n, step = len(part[doc]), 512
     for a in range(0, n, step):
         some = [c[a : a + step] for c in part]
         bucket.append(int(mixed(some[key][:1].view(np.uint64) ^ some[doc][:1].view(np.uint64))[0] >> np.uint64(64 - bits)))
