@@ -15,8 +15,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,14 +86,28 @@ def place(rows: DataFrame, *, capacity: int = CAPACITY, bucket: int = BUCKET) ->
     buckets = max(1, -(-rows.count() // bucket))
     names = rows.columns
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable")
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, [("length", "descending"), ("id", "ascending"), ("piece", "ascending")]))
         sequence, offset = sum_of_squares(group["length"].to_numpy(), capacity)
-        return group[names].assign(sequence_id=group["bucket"].to_numpy(np.int64) << 32 | sequence, offset=offset)
+        number = group["bucket"][0].as_py() << 32 | sequence
+        return group.select(names).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInPandas(pack, schema)
+    # a row's place in the table is hashed too, so that rows with equal or null ids don't share a bucket
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(pack, schema)
+
+
+def sequences(placed: DataFrame) -> DataFrame:
+    """One row per sequence: sequence_id, n_tokens, ids (binary, <u4), and its pieces in order as docs, piece_numbers and
+    offsets. placed has the ids of pieces(); a sequence has at most `capacity` ids, so no group is larger."""
+    parts = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "id", "piece", "length", "ids"))).alias("parts"))
+    ids = F.aggregate("parts", F.lit(b""), lambda whole, part: F.concat(whole, part["ids"]))
+    last = F.get("parts", F.size("parts") - 1)
+    return parts.select(
+        "sequence_id", (last["offset"] + last["length"]).alias("n_tokens"), ids.alias("ids"),
+        F.col("parts.id").alias("docs"), F.col("parts.piece").alias("piece_numbers"), F.col("parts.offset").alias("offsets"),
+    )
 
 
 def op3_sum_of_squares(spark, sf_dir: str) -> DataFrame:

@@ -127,6 +127,31 @@ def test_packing(spark, docs, library):
     assert packing.place(packing.pieces(docs.limit(0), tokenizer_path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_sequences_hold_the_ids(spark, docs, library):
+    placed = packing.place(packing.pieces(docs, tokenizer_path("byte_bpe_50k.json"), capacity=64), capacity=64, bucket=8)
+    rows = packing.sequences(placed).collect()
+    found = {}
+    for r in rows:
+        ids = np.frombuffer(bytes(r.ids), "<u4").tolist()
+        assert len(ids) == r.n_tokens <= 64 and r.offsets[0] == 0
+        for i, piece, a, b in zip(r.docs, r.piece_numbers, r.offsets, [*r.offsets[1:], r.n_tokens], strict=True):
+            found.setdefault(i, []).append((piece, ids[a:b]))
+    for i, t in ROWS:
+        if i != 3:
+            assert sum((x for _, x in sorted(found[i])), []) == [*library.encode_ordinary(t or ""), 0]
+    assert packing.sequences(placed.limit(0)).count() == 0
+
+
+def test_equal_and_null_ids_are_spread_over_buckets(spark):
+    for doc_id in (None, 7):
+        big = (1 << 60) + 1  # exact beside nulls too
+        rows = spark.createDataFrame([(doc_id, 0, 5)] * 400 + [(big, 0, 5)], "id long, piece int, length long")
+        got = packing.place(rows, capacity=10, bucket=50).collect()
+        assert sorted(str(r.id) for r in got) == sorted([str(doc_id)] * 400 + [str(big)])
+        sizes = np.unique([r.sequence_id >> 32 for r in got], return_counts=True)[1]
+        assert len(sizes) > 5 and sizes.max() < 120
+
+
 def squares_by_hand(lengths, capacity):
     gaps, made = [], []
     for size in lengths:
