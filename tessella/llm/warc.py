@@ -240,7 +240,8 @@ def reassemble(segments: DataFrame) -> DataFrame:
     one = segments.groupBy("origin", "number").agg(F.count(F.lit(1)).alias("copies"), F.max("total").alias("total"), F.max("type").alias("type"), F.max("digest").alias("digest"), F.min("block").alias("block"), F.max("block").alias("other"))
     one = one.withColumn("block", F.when(F.col("block") == F.col("other"), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("copies of a segment differ: "), "origin")).cast("binary")))
     joined = one.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "block"))).alias("s"), F.max("total").alias("total"), F.max("digest").alias("digest"), F.min("copies").alias("copies"), F.max("copies").alias("most"), F.max("number").alias("last"))
-    block = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
+    # joined as hex digits, in one pass: bytes added one by one are copied again for each segment
+    block = F.unhex(F.array_join(F.transform("s", lambda x: F.hex(x["block"])), ""))
     joined = joined.select("*", block.alias("block"))
     sound = (F.size("s") == F.col("last")) & (F.col("copies") == F.col("most")) & F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False))
     checked = F.when(sound, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing, or not of the stated length: "), "origin")).cast("binary"))
