@@ -38,8 +38,8 @@ from tessella.llm.words import random_codes
 #: SHINGLE is a power of two.
 SHINGLE, ROWS, BANDS, PERCENT, MIN_CHARS = 8, 4, 16, 75, 20
 SYMBOLS = ROWS * BANDS
-#: Candidates may differ in as many symbols (a pair at the similarity exceeds it with a chance of about 1e-6); bands of the first star.
-FAR, FIRST_BANDS = 34, 2
+#: Candidates may differ in as many symbols (a pair at the similarity exceeds it with a chance of 2e-12); bands of the first star.
+FAR, FIRST_BANDS = 42, 2
 MULT = np.uint64(0xA0761D6478BD642F)
 #: A letter or digit of any script.
 WORD = re.compile(r"[^\W_]")

@@ -5,7 +5,7 @@ CHUNKS chunks; by the pigeonhole principle two signatures that differ in at most
 symbols agree in some chunk up to ERRORS symbols, so every document is indexed under each chunk with every choice of
 ERRORS symbols left out, and all pairs within the radius meet under some key. Pairs at the similarity of 0.75 differ in
 a quarter of the symbols on average; the chance that such a pair has no key in common is 0.367 ** 10, about 4e-5, and it
-falls fast above. Candidates that differ in more than FAR symbols are dropped (a chance of about 1e-5 at 0.75); all
+falls fast above. Candidates that differ in more than FAR symbols are dropped (a chance of 5e-13 at 0.75); all
 others are decided on the full sets.
 
 Only the links' components are wanted, so pairs already connected needn't be decided:
@@ -42,7 +42,7 @@ SYMBOLS, RADIUS = CHUNK * CHUNKS, CHUNKS * (ERRORS + 1) - 1
 #: Low bits of a key that number it.
 NUMBER_BITS = 6
 #: Candidates may differ in as many symbols; chunks of the first star; members of a block in the last pass.
-FAR, FIRST_CHUNKS, BLOCK = 28, 2, 1024
+FAR, FIRST_CHUNKS, BLOCK = 36, 2, 1024
 
 
 def sketches(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
