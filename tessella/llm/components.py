@@ -26,23 +26,21 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def print_of(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def settled(edges: DataFrame) -> bool:
+    """Whether edges from larger nodes a to smaller ones b are stars: no node has two smaller neighbours, or a smaller and a larger one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> Stage:
     """Table node, component for all nodes of edges a - b (long, any direction, repeats and loops allowed)."""
     start = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     now = Stage(start)
-    before = print_of(now.df)
-    while before[0]:
+    while not settled(now.df):
         then = Stage(small_star(large_star(now.df)))
         now.drop()
-        now, after = then, print_of(then.df)
-        if after == before:
-            break
-        before = after
+        now = then
     # stars: every node but the smallest has one edge, to the smallest
     found = now.df
     result = Stage(found.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(found.select("b", "b").toDF("node", "component").distinct()))

@@ -247,6 +247,8 @@ def connect(first: DataFrame, index: DataFrame, verify: Callable[[DataFrame], Da
     links = labels = None
     for found in (lambda: verify(star(first, None)), lambda: verify(star(index, labels)), lambda: verify(star_of_hubs(index, labels, links)), lambda: last(labels)):
         fresh = Stage(found()).df
+        if labels is not None and fresh.isEmpty():
+            continue  # no link joins anything
         links = fresh if links is None else links.unionByName(fresh)
         # a component's labels stand for the links before
         edges = fresh if labels is None else fresh.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
