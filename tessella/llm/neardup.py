@@ -17,7 +17,8 @@ Only the links' components are wanted, so pairs already connected needn't be dec
 So no link between different components is left undecided, and no stage emits the pairs of a group.
 
 Defined results: a null text or one without words has no shingles, no links and its own id as component; rows with equal
-doc_id and text stay and share their result; an id in several rows with different texts links them; a null id is never
+doc_id and text stay and share their result; an id in several rows with different texts links them, and only one
+of its texts is compared with others where it is the smallest id of several sets; a null id is never
 a component's smallest unless all are null (then the component is null and the rows are kept); an empty table gives no
 rows; other columns of the input are ignored.
 """
