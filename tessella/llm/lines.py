@@ -5,8 +5,8 @@ holds a word counts too. Equal lines are one node; lines under SHINGLE character
 links them. A line's signature has a minimum for each of BANDS * ROWS hash functions over its distinct shingles of SHINGLE
 characters; lines that agree in all ROWS symbols of a band meet. A pair at the similarity of 0.75 has no band in common
 with a chance of 0.0025, one at 0.8 with 0.0002. Candidates are decided by the exact Jaccard similarity of their shingle
-sets, as in operator 7: stars first, then every pair of members of different components that share a band, compared
-within blocks inside tasks. Union-find in Spark joins the links; of each component the line that comes first (by
+sets: a star over the first FIRST_BANDS bands, then, as in operator 7, every pair of members of different components that
+share a band, compared within blocks inside tasks. Union-find in Spark joins the links; of each component the line that comes first (by
 document id, then by its place) stays and the others go.
 
 Lines are 64-bit digests; the text of a line is only gathered when it shares a band with another line.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Stage, others, release, ship, slices, string_buffers
+from tessella.llm.components import components
 from tessella.llm.meeting import SHARED, bucket_bits, meet
-from tessella.llm.neardup import across, connect
+from tessella.llm.neardup import across
 from tessella.llm.shingles import distinct, linked, mixed
 from tessella.llm.words import random_codes
 
 #: SHINGLE is a power of two.
 SHINGLE, ROWS, BANDS, PERCENT, MIN_CHARS = 8, 4, 16, 75, 20
 SYMBOLS = ROWS * BANDS
-#: Candidates may differ in as many symbols (a pair at the similarity exceeds it with a chance of 2e-12); bands of the first star.
+#: Candidates may differ in as many symbols (a pair at the similarity exceeds it with a chance of 2e-12); bands of the star.
 FAR, FIRST_BANDS = 42, 2
 MULT = np.uint64(0xA0761D6478BD642F)
 #: A letter or digit of any script.
@@ -175,13 +177,13 @@ def node_table(docs: DataFrame, wanted: DataFrame, short_lines: bool) -> DataFra
             signs, sizes = signatures_of(lines), [len(x) for x in shingle_sets(lines)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array([s.tobytes() for s in signs], pa.binary())], ["node", "line", "n_shingles", "signature"])
 
-    lines = docs.mapInArrow(texts, "node long, line binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    lines = docs.mapInArrow(texts, "node long, line binary").join(wanted.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
     return lines.mapInArrow(measure, "node long, line binary, n_shingles long, signature binary")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of pairs a, b those whose lines are as similar as asked for."""
-    side = nodes.select("node", "n_shingles", "line")
+    side = nodes.select("node", "n_shingles", "line").hint("shuffle_hash")
     both = pairs.join(side.toDF("a", "na", "la"), "a").join(side.toDF("b", "nb", "lb"), "b")
     both = both.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
 
@@ -195,6 +197,12 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
+def star(index: DataFrame) -> DataFrame:
+    """Pairs a, b of each bucket's smallest line with every other one in it."""
+    hubs = index.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("key", "a")
+    return index.join(hubs.hint("shuffle_hash"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
 def line_components(docs: DataFrame, short_lines: bool) -> DataFrame:
     """node, component for the lines (digests) that are linked with another."""
     spark = docs.sparkSession
@@ -204,38 +212,43 @@ def line_components(docs: DataFrame, short_lines: bool) -> DataFrame:
     nodes = Stage(node_table(docs, index.select("node").distinct(), short_lines)).df
     release(spark)
     first = index.where((F.col("key").bitwiseAND(F.lit(BANDS - 1))) < FIRST_BANDS)
-    full = nodes.withColumnRenamed("line", "content")
-    return connect(first, index, lambda pairs: verified(pairs, nodes), lambda labels: across(index, labels, full, first_band, lambda column: shingle_sets(column.to_pylist()), number_bits=BANDS.bit_length() - 1, symbols=SYMBOLS, far=FAR, percent=PERCENT))
+    links = Stage(verified(star(first), nodes)).df
+    labels = components(links).df
+    release(spark)
+    full = nodes.withColumnRenamed("line", "content").hint("shuffle_hash")
+    rest = Stage(across(index, labels.hint("shuffle_hash"), full, first_band, lambda column: shingle_sets(column.to_pylist()), number_bits=BANDS.bit_length() - 1, symbols=SYMBOLS, far=FAR, percent=PERCENT)).df
+    if not rest.isEmpty():
+        # a component's labels stand for the links before
+        labels = components(rest.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))).df
+    release(spark)
+    return labels
 
 
 def occurrences(docs: DataFrame, short_lines: bool) -> DataFrame:
-    """doc, node, line (the place of its first occurrence), n (occurrences in the document)."""
+    """doc, node, n (occurrences in the document)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
                 for doc, lines in lines_of(part):
-                    seen: dict[int, list[int]] = {}
-                    for k, line in enumerate(lines):
-                        if counts(line, short_lines):
-                            seen.setdefault(digest(line), [k, 0])[1] += 1
-                    rows += [(doc, node, k, n) for node, (k, n) in seen.items()]
+                    seen = Counter(digest(line) for line in lines if counts(line, short_lines))
+                    rows += [(doc, node, n) for node, n in seen.items()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc", "node", "line", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc", "node", "n"])
 
-    return docs.mapInArrow(run, "doc long, node long, line long, n long")
+    return docs.mapInArrow(run, "doc long, node long, n long")
 
 
 def decisions(docs: DataFrame, short_lines: bool) -> DataFrame:
     """doc, lines: of each document the lines (node, component, home) whose component occurs more than once."""
     labels = line_components(docs, short_lines)
-    places = occurrences(docs, short_lines).join(labels, "node", "left").select("doc", "node", F.coalesce("component", "node").alias("component"), "line", "n")
+    places = occurrences(docs, short_lines).join(labels.hint("shuffle_hash"), "node", "left").select("doc", "node", F.coalesce("component", "node").alias("component"), "n")
     places = Stage(places).df
     release(docs.sparkSession)
-    homes = places.groupBy("component").agg(F.min(F.struct("doc", "line")).alias("at"), F.sum("n").alias("n")).where("n > 1")
-    homes = Stage(homes.select("component", F.col("at.doc").alias("home"))).df
-    known = places.join(homes, "component").select("doc", F.struct("node", "component", (F.col("doc") == F.col("home")).alias("home")).alias("x"))
+    homes = places.groupBy("component").agg(F.min("doc").alias("home"), F.sum("n").alias("n")).where("n > 1")
+    homes = Stage(homes.select("component", "home")).df
+    known = places.join(homes.hint("shuffle_hash"), "component").select("doc", F.struct("node", "component", (F.col("doc") == F.col("home")).alias("home")).alias("x"))
     return known.groupBy("doc").agg(F.collect_set("x").alias("lines"))
 
 
@@ -262,7 +275,7 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     ship(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).where("doc is not null and text is not null")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), others(df, text_col).alias("_row"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.join(decisions(docs, short_lines), "doc", "left").select("_row", "text", "lines")
+    rows = rows.join(decisions(docs, short_lines).hint("shuffle_hash"), "doc", "left").select("_row", "text", "lines")
     kind = rows.schema["_row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

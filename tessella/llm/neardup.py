@@ -199,7 +199,7 @@ def across(index: DataFrame, labels: DataFrame, nodes: DataFrame, first: Callabl
         size, node, block = (np.asarray(rows.column(c)) for c in ("n_shingles", "node", "block"))
         apart = np.asarray(rows.column("i")) != np.asarray(rows.column("j"))
         label, sign = np.array(rows.column("component")), signatures(rows.column("signature"), symbols)
-        found, sets = [], None
+        found, sets = [], {}
         for step in range(1, rows.num_rows):
             a = np.flatnonzero(bucket[step:] == bucket[:-step])
             if not len(a):
@@ -212,9 +212,11 @@ def across(index: DataFrame, labels: DataFrame, nodes: DataFrame, first: Callabl
             same = sign[a] == sign[b]
             fine = same.sum(1) >= symbols - far
             fine[fine] = first(same[fine]) == here[a[fine]]
-            for x, y in zip(a[fine].tolist(), b[fine].tolist(), strict=True):
+            a, b = a[fine], b[fine]
+            if lacking := sorted({*a.tolist(), *b.tolist()} - sets.keys()):
+                sets.update(zip(lacking, sets_of(rows.column("content").take(pa.array(lacking))), strict=True))
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 if label[x] != label[y]:
-                    sets = sets_of(rows.column("content")) if sets is None else sets
                     if linked(sets[x], sets[y], percent):
                         found.append((min(node[x], node[y]), max(node[x], node[y])))
                         label[label == label[y]] = label[x]

@@ -90,3 +90,14 @@ def test_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(((r._row.doc_id, r._text) for r in lines.dedup_lines(df).collect()), key=str) == brute(rows)
+
+
+def test_few_jobs(spark):
+    """Groups of lines whose links the first bands, the others and the last pass find: each round of components is many jobs."""
+    rows = made_up(1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.numTotalJobs()
+    got = sorted(((r._row.doc_id, r._text) for r in lines.dedup_lines(df).collect()), key=str)
+    assert got == brute(rows)
+    assert scheduler.numTotalJobs() - before <= 95
