@@ -12,7 +12,8 @@ come; an empty table gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,12 @@ CAPACITY, BUCKET = 2048, 16_384
 
 def pieces(df: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids (binary, <u4)."""
+    rows, cut, schema = cutting(df, tokenizer, capacity=capacity, separator=separator, id_col=id_col, text_col=text_col, added_tokens=added_tokens)
+    return rows.mapInArrow(cut, schema)
+
+
+def cutting(df: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> tuple[DataFrame, Callable, str]:
+    """What pieces() maps, by what, and its schema."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +56,22 @@ def pieces(df: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, separator
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary())], ["id", "piece", "start", "length", "ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, piece int, start long, length long, ids binary")
+    return rows, run, "id long, piece int, start long, length long, ids binary"
+
+
+def checked_pieces(df: DataFrame, tokenizer: str, **options) -> DataFrame:
+    """A written table of the pieces with the crc32 of their ids instead of these: id, piece, start, length, ids_crc32.
+
+    The task that cuts pieces also writes the table, so ids don't leave it.
+    """
+    rows, cut, _ = cutting(df, tokenizer, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in cut(batches):
+            check = pa.array([zlib.crc32(ids.as_buffer()) for ids in part.column("ids")], pa.int64())
+            yield part.set_column(part.schema.get_field_index("ids"), "ids_crc32", check)
+
+    return Stage.made(rows, run, "id long, piece int, start long, length long, ids_crc32 long").df
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +134,5 @@ def sequences(placed: DataFrame) -> DataFrame:
 
 def op3_sum_of_squares(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cut = pieces(docs, tokenizer_path("byte_bpe_50k.json"), added_tokens=True)
     # the ids' checksum stands for them from here on; the operator itself keeps them
-    cut = Stage(cut.select("id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))).df
-    return place(cut).withColumnRenamed("id", "doc_id")
+    return place(checked_pieces(docs, tokenizer_path("byte_bpe_50k.json"), added_tokens=True)).withColumnRenamed("id", "doc_id")
