@@ -122,6 +122,12 @@ def meet(source: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[
     later: a document with a smaller number than the row's `doc` has the key too. want: ALL rows, those of SHARED keys
     (of several documents), or the LATER ones only.
     """
+    dealt, receive, schema = meeting(source, make, names, key, bits, want=want)
+    return dealt.mapInArrow(receive, schema)
+
+
+def meeting(source: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[list[np.ndarray]]], names: list[str], key: str, bits: int, *, want: int) -> tuple[DataFrame, Callable, str]:
+    """What meet() maps at last, by what, and its schema."""
     where_key, where_doc = names.index(key), names.index("doc")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,4 +159,4 @@ def meet(source: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[
                 yield out
 
     dealt = source.mapInArrow(send, "bucket long, data binary").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(receive, ", ".join(f"{n} long" for n in names) + ", later boolean")
+    return dealt, receive, ", ".join(f"{n} long" for n in names) + ", later boolean"

@@ -24,15 +24,17 @@ inside a character.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Stage, others, release, ship, slices, squeezed, string_buffers, unsqueezed
-from tessella.llm.meeting import ALL, LATER, SHARED, bucket_bits, meet
+from tessella.llm.meeting import ALL, LATER, SHARED, bucket_bits, meeting
 from tessella.llm.shingles import distinct, mixed, size_class
 from tessella.llm.words import INVERSE, MULT, powers
 
@@ -143,6 +145,10 @@ def table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.asarray(c).astype(np.int64) for c in batch.columns]
 
 
+def as_they_are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+
+
 def windows_in(first: np.ndarray, last: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     size = (last - first + 1)[chosen]
     return np.repeat(first[chosen] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -176,25 +182,31 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     as_text: kept is a string without the characters that a removal has cut in two, and null where the text is.
     """
+    rows, run, schema = removing(df, id_col=id_col, text_col=text_col, length=length, as_text=as_text)
+    return rows.mapInArrow(run, schema)
+
+
+def removing(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, as_text: bool = False) -> tuple[DataFrame, Callable, str]:
+    """What remove_repeats() maps at last, by what, and its schema."""
     spark = df.sparkSession
     ship(spark)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), others(df, text_col).alias("_row"), F.col(f"`{text_col}`").alias("text"))
     docs = rows.where("doc is not null and text is not null").select("doc", "text")
     bits = bucket_bits(docs)
-    shared = Stage(meet(docs, anchor_rows(length), ["rank", "block", "doc"], "rank", bits, want=SHARED))
+    shared = Stage.made(*meeting(docs, anchor_rows(length), ["rank", "block", "doc"], "rank", bits, want=SHARED))
     release(spark)
     rows_in = shared.df.select("rank", "block", "doc", F.col("later").cast("long").alias("rank_later"))
-    ranked = meet(rows_in, table_rows, rows_in.columns, "block", bits, want=ALL)
-    ranked = Stage(ranked.select("rank", "block", "doc", F.col("later").alias("gone"), (F.col("rank_later") == 1).alias("later")))
+    ranked = Stage.made(*meeting(rows_in, table_rows, rows_in.columns, "block", bits, want=ALL))
     shared.drop()
+    found = ranked.df.select("rank", "block", "doc", F.col("later").alias("gone"), (F.col("rank_later") == 1).alias("later"))
     release(spark)
-    blocks_gone = Stage(ranked.df.where("gone").select("doc", "block")).df
-    matters = ranked.df.where("not gone and later").select("rank").distinct()
-    still_open = ranked.df.where("not gone").join(matters, "rank", "left_semi").groupBy("doc").agg(F.collect_set("block").alias("open"))
-    windows = meet(squeezed(docs).join(still_open, "doc").select("doc", "text", "open"), window_rows(length), ["rank", "doc"], "rank", bits, want=LATER)
-    windows = Stage(windows.select("doc", "rank")).df
+    blocks_gone = Stage.made(found.where("gone").select("doc", "block"), as_they_are, "doc long, block long").df
+    matters = found.where("not gone and later").select("rank").distinct()
+    still_open = found.where("not gone").join(matters, "rank", "left_semi").groupBy("doc").agg(F.collect_set("block").alias("open"))
+    windows = meeting(squeezed(docs).join(still_open, "doc").select("doc", "text", "open"), window_rows(length), ["rank", "doc"], "rank", bits, want=LATER)
+    windows = Stage.made(*windows).df
     ranked.drop()
-    del matters, still_open
+    del found, matters, still_open
     release(spark)
     none = F.lit(None).cast("long")
     gone = blocks_gone.select("doc", "block", none.alias("window")).unionByName(windows.select("doc", none.alias("block"), F.col("rank").alias("window")))
@@ -220,10 +232,19 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     kind = rows.schema["_row"].dataType.simpleString()
     rows = squeezed(rows).join(gone, "doc", "left").select("_row", "text", "gone_blocks", "gone_windows")
-    return rows.mapInArrow(run, f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
-
+    return rows, run, f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
 
 
 def op6_prefix_doubling(spark, sf_dir: str) -> DataFrame:
-    rows = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return rows.select(F.col("_row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows, remove, _ = removing(docs)
+
+    # the digest stands for the bytes that remain, so they don't leave the task that finds them
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in remove(batches):
+            digest = pa.array([hashlib.sha256(kept.as_buffer()).hexdigest() for kept in part.column("kept")], pa.string())
+            doc = pc.struct_field(part.column("_row"), "doc_id")
+            yield pa.RecordBatch.from_arrays([doc, *part.columns[1:4], digest], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return Stage.made(rows, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").df

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from tessella.llm import packing
+from tessella.llm import packing, substrings
 from tessella.llm.common import Stage, shared_dir
 
 
@@ -22,7 +22,7 @@ def folder(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("query", [packing.op3_sum_of_squares])
+@pytest.mark.parametrize("query", [packing.op3_sum_of_squares, substrings.op6_prefix_doubling])
 def test_queries_start_no_process(spark, folder, query):
     shared_dir(spark)  # the folder for all is made by the JVM, once
 
@@ -56,3 +56,23 @@ def test_tables_made_by_workers(spark):
     assert not folder.exists()
     empty = Stage.made(rows.limit(0), same, "id long, part int, raw binary")
     assert empty.df.collect() == []
+
+
+def test_op6_from_a_table_of_few_files(spark, folder, tmp_path):
+    # ids that are null or come twice, null and empty texts, on more partitions than the result needs
+    same_text = "the same fifty bytes and more stand in each of these rows, " * 2
+    rows = [(1, "a " + same_text), (1, "b " + same_text), (None, same_text), (2, None), (3, ""), (4, same_text + "é"), (5, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = substrings.remove_repeats(docs).selectExpr("_row.doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)")
+    key = lambda r: [str(x) for x in r]
+    was = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = substrings.op6_prefix_doubling(spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, kept.collect()), key=key)
+        assert substrings.op6_prefix_doubling(spark, folder).rdd.getNumPartitions() <= 15
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was[1])
