@@ -11,7 +11,7 @@ from tessella.functions.geometry import chaikin
 from tessella.functions.kernels import contains_point
 from tessella.operators import faces as faces_
 from tessella.operators.lines import chains, merged_lines, simplified
-from tessella.operators.noding import ENDS, node, segments_of
+from tessella.operators.noding import ENDS, crossings, fine_cell, node, segments_of, touched, whole_lines
 from tessella.operators.overlap import assign
 from tessella.operators.tables import written
 
@@ -53,7 +53,8 @@ class CleanSpec:
 
 @dataclass(frozen=True)
 class RunOptions:
-    """stop_after: a stage's name; later results stay None. Cells of the joins: cells_across over the longer side."""
+    """stop_after: a stage's name; later results stay None. Cells of the joins: cells_across over the longer side at
+    least, and more where there are many segments."""
 
     stop_after: str = "attributes"
     cells_across: int = 64
@@ -95,6 +96,8 @@ def resolve(polygons: DataFrame, topology: TopologySpec, clean: CleanSpec | None
     if options.stop_after == "segments":
         result.edges = lines
         return result
+    lines = written(lines)
+    cell = fine_cell(lines, cell)
     noded, result.rejects = node(lines, cell)
     whole, changed = noded, clean.min_area > 0 or clean.simplify_tolerance > 0 or clean.chaikin_rounds > 0
     if clean.simplify_tolerance > 0 or clean.chaikin_rounds > 0:
@@ -220,12 +223,12 @@ def routed(result: Result, *, attribute_mode: bool) -> dict[str, DataFrame]:
 
 def validate(edges: DataFrame) -> DataFrame:
     """Violations of a noded layer, one row each: segments that cross or touch inside (kind, x1, y1, x2, y2)."""
-    from tessella.operators.noding import crossings, touched
-
-    rows = edges.select("x1", "y1", "x2", "y2")
+    rows = written(edges.select("x1", "y1", "x2", "y2"))
     ends = rows.select(F.col("x1").alias("x"), F.col("y1").alias("y")).unionAll(rows.select("x2", "y2")).distinct()
     widest = rows.agg(F.max(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))))).first()[0] or 1
-    cut = touched(rows, ends, widest).select(F.lit("an end point inside a segment").alias("kind"), "x1", "y1", "x2", "y2")
+    cell = fine_cell(rows, widest)
+    cut = touched(rows, ends, cell).select(F.lit("an end point inside a segment").alias("kind"), "x1", "y1", "x2", "y2")
     zero = F.lit(None).cast("long")
-    crossed = crossings(rows, widest).select(F.lit("a crossing").alias("kind"), F.col("x").alias("x1"), F.col("y").alias("y1"), zero.alias("x2"), zero.alias("y2"))
+    # where segments of two lines cross, whichever these are
+    crossed = crossings(written(whole_lines(rows, joined=False)), cell).select(F.lit("a crossing").alias("kind"), F.col("x").alias("x1"), F.col("y").alias("y1"), zero.alias("x2"), zero.alias("y2"))
     return cut.unionAll(crossed)
