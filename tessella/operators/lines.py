@@ -1,15 +1,18 @@
 """Healing: chains of segments through nodes of degree two become one line.
 
-A chain is a component of segments that share a node with exactly two ends. Its name is the smallest segment, found by
-pointer doubling along the chain, so a chain of any length takes as many rounds as its length has doublings.
+A chain is a component of segments that share a node with exactly two ends. Its half-edges, which turn round at its ends,
+make one cycle, or two where it is closed, so chains are named as the cycles of faces are.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.faces import named, tasks_for
 from tessella.operators.noding import ENDS
 from tessella.operators.tables import written
 
@@ -21,47 +24,83 @@ def degrees(segments: DataFrame) -> DataFrame:
 
 
 def chains(segments: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
-    """The segments with `chain`, the name of the healed line they belong to. fixed: nodes (x, y) that stay ends."""
-    rows = segments.select(*ENDS).distinct().withColumn("s", F.concat_ws(" ", *ENDS))
-    ends = rows.select("s", F.col("x1").alias("x"), F.col("y1").alias("y")).unionAll(rows.select("s", "x2", "y2"))
+    """The segments with `chain`, the number of the healed line they belong to. fixed: nodes (x, y) that stay ends."""
+    rows = written(segments.select(*ENDS).distinct().withColumn("h", F.monotonically_increasing_id() * 2))
+    both = rows.toDF("ux", "uy", "vx", "vy", "h").unionAll(rows.select("x2", "y2", "x1", "y1", F.col("h") + 1))
+    stays = F.lit(False)
     if fixed is not None:
-        ends = ends.join(fixed.select("x", "y").distinct(), ["x", "y"], "left_anti")
-    pairs = ends.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).where("n = 2 and a <> b")
-    links = pairs.select("a", "b").unionAll(pairs.select("b", "a"))
-    now = written(rows.select("s", F.col("s").alias("chain")))
-    links = written(links)
+        both = both.join(fixed.select(F.col("x").alias("ux"), F.col("y").alias("uy"), F.lit(True).alias("stays")).distinct(), ["ux", "uy"], "left")
+        stays = F.coalesce("stays", F.lit(False))
+    node = Window.partitionBy("ux", "uy")
+    # what comes into a node goes on with the other of two, and else turns round
+    on = F.when((F.count(F.lit(1)).over(node) == 2) & ~stays, F.sum("h").over(node) - F.col("h")).otherwise(F.col("h"))
+    half = both.withColumn("next", on).select(F.col("h").bitwiseXOR(F.lit(1)).alias("h"), "next", F.col("vx").alias("ux"), F.col("vy").alias("uy"), F.col("ux").alias("vx"), F.col("uy").alias("vy"))
+    of = lambda c: F.max(F.when(F.col("h") % 2 == 0, F.col(c)))
+    found = named(half).groupBy(F.expr("h div 2").alias("s")).agg(of("ux").alias("x1"), of("uy").alias("y1"), of("vx").alias("x2"), of("vy").alias("y2"), F.min("face").alias("chain"))
+    return found.select(*ENDS, "chain")
+
+
+def ordered(chain: np.ndarray, x: np.ndarray, y: np.ndarray, vx: np.ndarray, vy: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of half-edges, those of segment k at 2 k and 2 k + 1, the chains and, in order, their points (chains, sizes, x, y)."""
+    n = len(chain)
+    order = np.lexsort((vy, vx, y, x, chain))
+    c, a, b = chain[order], x[order], y[order]
+    new = np.r_[True, (c[1:] != c[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    at = np.flatnonzero(new)
+    degree = np.diff(np.r_[at, n])
+    # the other way out of a node that has two, for each half-edge out of it
+    other = np.full(n, -1)
+    two = at[degree == 2]
+    other[order[two]], other[order[two + 1]] = order[two + 1], order[two]
+    # a chain starts at its smallest end, or smallest point, and there towards the smaller neighbour
+    rank = np.lexsort((np.arange(len(at)), degree != 1, c[at]))
+    nodes = c[at][rank]
+    first = order[at[rank[np.r_[True, nodes[1:] != nodes[:-1]]]]]
+    ahead = other[np.arange(n) ^ 1]
+    stop = ahead < 0
+    start = np.zeros(n, bool)
+    start[first] = True
+    stop |= start[np.maximum(ahead, 0)] & (ahead >= 0)
+    stop[first ^ 1] = True
+    to, left = np.where(stop, np.arange(n), ahead), np.where(stop, 0, 1)
     while True:
-        # the least name among the neighbours, then the least name of that one: labels halve their way at each round
-        near = links.join(now.toDF("b", "c"), "b").groupBy("a").agg(F.min("c").alias("c"))
-        step = now.join(near.withColumnRenamed("a", "s"), "s", "left").select("s", "chain", F.least("chain", F.coalesce("c", "chain")).alias("next"))
-        step = step.join(now.toDF("next", "further"), "next", "left").select("s", F.least("next", F.coalesce("further", "next")).alias("new"), "chain")
-        then = written(step.select("s", F.col("new").alias("chain"), (F.col("new") < F.col("chain")).alias("moved")))
-        done = then.where("moved").isEmpty()
-        now = then.drop("moved")
-        if done:
-            return rows.join(now, "s").select(*ENDS, "chain")
+        then = to[to]
+        if (then == to).all():
+            break
+        left, to = left + left[to], then
+    # those that end in the way back to the start run the other way
+    back = np.zeros(n, bool)
+    back[first ^ 1] = True
+    row = np.flatnonzero(~back[to])
+    row = row[np.lexsort((-left[row], chain[row]))]
+    ends = np.r_[chain[row][1:] != chain[row][:-1], True]
+    names = chain[row][ends]
+    size = np.diff(np.r_[0, np.flatnonzero(ends) + 1]) + 1
+    last = np.cumsum(size) - 1
+    is_last = np.zeros(int(size.sum()), bool)
+    is_last[last] = True
+    px, py = np.empty(len(is_last)), np.empty(len(is_last))
+    px[~is_last], py[~is_last], px[last], py[last] = x[row], y[row], vx[row[ends]], vy[row[ends]]
+    return names, size, px, py
 
 
 def merged_lines(chained: DataFrame) -> DataFrame:
     """chain, pts: the points of each healed line in order, from its smaller end; a closed one starts at its smallest point."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ways: dict = {}
-        for a, b, c, d in group[list(ENDS)].itertuples(index=False):
-            ways.setdefault((a, b), []).append((c, d))
-            ways.setdefault((c, d), []).append((a, b))
-        ends = sorted(k for k, v in ways.items() if len(v) == 1)
-        at, before = (ends[0] if ends else min(ways)), None
-        line = [at]
-        while len(line) <= len(group):
-            ahead = [p for p in ways[at] if p != before] or ways[at]
-            before, at = at, min(ahead)
-            line.append(at)
-            if len(ways[at]) == 1 and len(line) > 1:
-                break
-        return pd.DataFrame([(group["chain"].iloc[0], [{"x": float(x), "y": float(y)} for x, y in line])], columns=["chain", "pts"])
-
-    return chained.groupBy("chain").applyInPandas(run, "chain string, pts array<struct<x:double,y:double>>")
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        chain, *xy = (table[c].to_numpy() for c in ("chain", *ENDS))
+        both = lambda a, b: np.stack([a, b], 1).ravel()
+        names, size, x, y = ordered(both(chain, chain), both(xy[0], xy[2]), both(xy[1], xy[3]), both(xy[2], xy[0]), both(xy[3], xy[1]))
+        pts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.StructArray.from_arrays([x, y], fields=list(point)))
+        yield from pa.table([pa.array(names), pts], names=["chain", "pts"]).to_batches(max_chunksize=10_000)
+
+    rows = written(chained.select("chain", *ENDS))
+    return rows.repartition(tasks_for(rows, rows.count()), "chain").mapInArrow(run, "chain long, pts array<struct<x:double,y:double>>")
 
 
 def simplify(pts: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import geometry as G
 from tessella.operators import faces as faces_
+from tessella.operators.lines import chains, merged_lines
 from tessella.operators.noding import crossings, node, segments_of, whole_lines
 
 SEGMENT = "x1 long, y1 long, x2 long, y2 long"
@@ -49,3 +50,17 @@ def test_sides_of_an_island(spark):
     one = [(r.x1, r.y1) for r in faces_.edges_of(cycled).collect() if (r.left in found) != (r.right in found)]
     assert len([p for p in one if p[0] >= 20]) == 4 and not [p for p in one if 4 <= p[0] <= 6 and 4 <= p[1] <= 6]
     assert len(one) == 4 + 8
+
+
+def test_chains_across_tiles(spark, monkeypatch):
+    """Long chains, rings and a ring that starts and ends at a node of three lines."""
+    monkeypatch.setattr(faces_, "LAST", 10)
+    monkeypatch.setattr(faces_, "PER_TILE", 10)
+    steps = lambda pts: [(*min(a, b), *max(a, b)) for a, b in zip(pts[:-1], pts[1:], strict=True)]
+    wave = [(k, k * 7 % 5) for k in range(200)]
+    ring = [(x, 50) for x in range(60)] + [(x, 51) for x in range(59, -1, -1)] + [(0, 50)]
+    loop = [(10, 80), (12, 82), (8, 82), (10, 80)]
+    df = spark.createDataFrame(steps(wave) + steps(ring) + steps(loop) + steps([(10, 70), (10, 80)]), SEGMENT)
+    got = sorted([(p.x, p.y) for p in r.pts] for r in merged_lines(chains(df)).collect())
+    # a closed line starts at its smallest point, towards the smaller neighbour
+    assert got == sorted([wave, ring, [(8, 82), (10, 80), (12, 82), (8, 82)], [(10, 70), (10, 80)]])
