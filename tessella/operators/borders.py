@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.grid import balanced_grid, cells_of, spatial_join
+from tessella.operators.grid import balanced_grid, cells_of
+from tessella.operators.noding import in_cells, spread
+from tessella.operators.tables import written
 
 ENDS = ("x1", "y1", "x2", "y2")
 
@@ -44,12 +46,23 @@ def edge_attributes(edges: DataFrame, lines: DataFrame, tolerance: float, side:
     without such a line are left out.
     """
     names = [c for c in lines.columns if c not in ENDS]
-    pairs = spatial_join(boxed(edges, tolerance), boxed(lines), side)
-    e, s = [F.col(f"a.{c}") for c in ENDS], [F.col(f"b.{c}") for c in ENDS]
+    line = F.struct(pk, *[n for n in names if n != pk])
+    # of lines on each other the smallest pk's alone can be an edge's
+    lines = written(lines.groupBy(*ENDS).agg(F.min(line).alias("line")))
+    edges = edges.select(*ENDS).distinct()
+    # an edge meets its lines where it starts: the cell of that point, and those that a line passes
+    mean = lines.agg(F.avg(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))))).first()[0] or side
+    cell = max(min(side, mean / 4), 2 * tolerance) or side
+    first = edges.select(F.struct(*ENDS).alias("e"), F.floor(F.col("x1") / cell).alias("cx"), F.floor(F.col("y1") / cell).alias("cy"))
+    s = [F.col(c) for c in ENDS]
+    e = [F.col(f"e.{c}") for c in ENDS]
     near = lambda x, y: off_segment(x, y, *s) <= tolerance
-    pairs = pairs.where(near(e[0], e[1]) & near(e[2], e[3]) & near((e[0] + e[2]) / 2, (e[1] + e[3]) / 2))
-    rows = pairs.select(*[x.alias(c) for x, c in zip(e, ENDS, strict=True)], F.struct(*[F.col(f"b.{c}").alias(c) for c in [pk, *[n for n in names if n != pk]]]).alias("line"))
-    return rows.groupBy(*ENDS).agg(F.min("line").alias("line")).select(*ENDS, "line.*")
+    # a cheap test of boxes comes before the distances
+    apart = lambda c, a, b: (c >= F.least(a, b) - tolerance) & (c <= F.greatest(a, b) + tolerance)
+    boxes = apart(e[0], s[0], s[2]) & apart(e[2], s[0], s[2]) & apart(e[1], s[1], s[3]) & apart(e[3], s[1], s[3])
+    pairs = spread(in_cells(lines, cell, grow=tolerance)).join(first, ["cx", "cy"])
+    pairs = pairs.where(boxes & near(e[0], e[1]) & near(e[2], e[3]) & near((e[0] + e[2]) / 2, (e[1] + e[3]) / 2))
+    return pairs.groupBy("e").agg(F.min("line").alias("line")).select("e.*", "line.*")
 
 
 def carried(lines: DataFrame, geometry: list[str]) -> DataFrame:

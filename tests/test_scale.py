@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import geometry as G
 from tessella.operators import faces as faces_
+from tessella.operators.borders import edge_attributes
 from tessella.operators.lines import chains, merged_lines
 from tessella.operators.noding import crossings, node, segments_of, whole_lines
 
@@ -64,3 +65,11 @@ def test_chains_across_tiles(spark, monkeypatch):
     got = sorted([(p.x, p.y) for p in r.pts] for r in merged_lines(chains(df)).collect())
     # a closed line starts at its smallest point, towards the smaller neighbour
     assert got == sorted([wave, ring, [(8, 82), (10, 80), (12, 82), (8, 82)], [(10, 70), (10, 80)]])
+
+
+def test_edges_on_sloping_and_stacked_lines(spark):
+    lines = [(9, 0, 0, 30, 10, "a"), (7, 0, 0, 30, 10, "b"), (8, 0, 0, 30, 10, "c"), (3, 100, 0, 100, 50, "d"), (4, 101, 0, 101, 50, "e")]
+    df = spark.createDataFrame(lines, "pk long, x1 long, y1 long, x2 long, y2 long, name string")
+    edges = spark.createDataFrame([(3, 1, 27, 9), (101, 10, 101, 20), (102, 10, 102, 20), (0, 0, 3, 9), (100, 49, 100, 52)], SEGMENT)
+    got = sorted(map(tuple, edge_attributes(edges, df, 1.0, 16).collect()))
+    assert got == [(3, 1, 27, 9, 7, "b"), (101, 10, 101, 20, 3, "d"), (102, 10, 102, 20, 4, "e")]
