@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry as G
+from tessella.functions.kernels import clipped_area, contains_point
 from tessella.operators import faces as faces_
+from tessella.operators import overlap
 from tessella.operators.borders import edge_attributes
 from tessella.operators.lines import chains, merged_lines
 from tessella.operators.noding import crossings, node, segments_of, whole_lines
@@ -64,7 +66,7 @@ def test_chains_across_tiles(spark, monkeypatch):
     df = spark.createDataFrame(steps(wave) + steps(ring) + steps(loop) + steps([(10, 70), (10, 80)]), SEGMENT)
     got = sorted([(p.x, p.y) for p in r.pts] for r in merged_lines(chains(df)).collect())
     # a closed line starts at its smallest point, towards the smaller neighbour
-    assert got == sorted([wave, ring, [(8, 82), (10, 80), (12, 82), (8, 82)], [(10, 70), (10, 80)]])
+    assert got == sorted([wave, ring[::-1], [(8, 82), (10, 80), (12, 82), (8, 82)], [(10, 70), (10, 80)]])
 
 
 def test_edges_on_sloping_and_stacked_lines(spark):
@@ -73,3 +75,30 @@ def test_edges_on_sloping_and_stacked_lines(spark):
     edges = spark.createDataFrame([(3, 1, 27, 9), (101, 10, 101, 20), (102, 10, 102, 20), (0, 0, 3, 9), (100, 49, 100, 52)], SEGMENT)
     got = sorted(map(tuple, edge_attributes(edges, df, 1.0, 16).collect()))
     assert got == [(3, 1, 27, 9, 7, "b"), (101, 10, 101, 20, 3, "d"), (102, 10, 102, 20, 4, "e")]
+
+
+def test_contains_and_clips(spark):
+    """A shell with a hole and sloping sides, against plain arithmetic; null rings stay null."""
+    rings = [[0.0, 0.0, 10.0, 0.0, 10.0, 10.0, 0.0, 0.0], [5.0, 1.0, 6.0, 1.0, 6.0, 2.0, 5.0, 2.0, 5.0, 1.0]]
+    df = spark.createDataFrame([(1, rings), (2, None)], "k int, rings array<array<double>>")
+    clip = lambda *b: [r.a for r in df.select("k", clipped_area("rings", *[F.lit(float(v)) for v in b]).alias("a")).orderBy("k").collect()]
+    assert clip(0, 0, 10, 10) == [49.0, None] and clip(2, 0, 4, 20) == [6.0, None]
+    assert clip(5, 0, 6, 2) == [1.0, None] and clip(20, 20, 30, 30) == [0.0, None]
+    at = lambda x, y: [r.a for r in df.select("k", contains_point("rings", F.lit(x), F.lit(y)).alias("a")).orderBy("k").collect()]
+    assert at(5.5, 1.5) == [False, False] and at(4.5, 1.5) == [True, False] and at(4.5, 8.5) == [False, False]
+
+
+def test_overlaps_of_stacks(spark, monkeypatch):
+    """Many rows at one place, in several lists; keys that repeat, null keys and boxes that touch or are equal."""
+    monkeypatch.setattr(overlap, "LIST", 3)
+    boxes = [(0, 0, 4, 4), (2, 2, 6, 6), (1, 1, 3, 3), (4, 0, 8, 4)]
+    rows = [(None if k == 11 else k // 2 if k < 6 else k, *boxes[k * 7 % 4 if k % 3 else 0]) for k in range(40)]
+    df = spark.createDataFrame(rows, "pk long, xmin long, ymin long, xmax long, ymax long")
+    share = lambda a, b: max(min(a[3], b[3]) - max(a[1], b[1]), 0) * max(min(a[4], b[4]) - max(a[2], b[2]), 0)
+    covers = lambda a, b: a[1] <= b[1] and a[2] <= b[2] and a[3] >= b[3] and a[4] >= b[4]
+    for contained in (True, False):
+        want = sorted((a[0], b[0], share(a, b)) for a in rows for b in rows if a[0] is not None and b[0] is not None and a[0] < b[0] and share(a, b) and (contained or not covers(a, b) and not covers(b, a)))
+        got = overlap.overlap_pairs(df, 2, include_containment=contained).select("a", "b", "area")
+        assert sorted(map(tuple, got.collect())) == want
+        places = overlap.overlap_counts(df, 2, include_containment=contained).collect()
+        assert sum(r.num for r in places) == len(want) and sum(r.num * r.area for r in places) == sum(r[2] for r in want)
