@@ -180,10 +180,19 @@ def in_boxes(rows: DataFrame, cell: int) -> DataFrame:
     return rows.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
 
 
-def holders(points: DataFrame, areas: DataFrame, cell: int, name: str) -> DataFrame:
-    """points (face, ix, iy) with `name` of every area (name, flat rings, box) that has the point inside."""
+def holders(points: DataFrame, areas: DataFrame, cell: int, name: str, *, alike: bool = False) -> DataFrame:
+    """points (face, ix, iy) with `name` of every area (name, flat rings, box) that has the point inside.
+
+    alike: many areas have the same rings, which are looked at once.
+    """
     at = points.select("face", "ix", "iy", F.floor(F.col("ix") / cell).alias("cx"), F.floor(F.col("iy") / cell).alias("cy"))
-    near = at.join(in_boxes(areas.select(name, "rings", "xmin", "ymin", "xmax", "ymax"), cell), ["cx", "cy"]).where("ix between xmin and xmax and iy between ymin and ymax")
+    form = ("rings", "xmin", "ymin", "xmax", "ymax")
+    shapes = areas.select(name, *form)
+    if alike:
+        shapes = written(shapes.groupBy(*form).agg(F.collect_set(name).alias("names")))
+    near = at.join(in_boxes(shapes, cell), ["cx", "cy"]).where("ix between xmin and xmax and iy between ymin and ymax")
+    if alike:
+        return near.where(contains_point("rings", "ix", "iy")).select("face", F.explode("names").alias(name)).distinct()
     return near.where(contains_point("rings", "ix", "iy")).select("face", name).distinct()
 
 
@@ -193,7 +202,7 @@ def shares(faces: DataFrame, polygons: DataFrame, cell: int, atoms: DataFrame |
     atoms: faces of the noded lines of both, each of which lies in one face and wholly in or outside each polygon. Without
     them the faces are those of the polygons' own noded lines.
     """
-    covered = holders(faces if atoms is None else atoms, polygons.where("sound"), cell, "pk")
+    covered = holders(faces if atoms is None else atoms, polygons.where("sound"), cell, "pk", alike=True)
     if atoms is None:
         return covered.withColumn("share", F.lit(1.0))
     flat = faces.select(F.col("face").alias("of"), F.col("rings").cast("array<array<double>>").alias("rings"), "xmin", "ymin", "xmax", "ymax")
