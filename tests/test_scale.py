@@ -1,11 +1,12 @@
 """Steps whose cost must not grow faster than their rows, and their results on odd input."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry as G
 from tessella.functions.kernels import clipped_area, contains_point
 from tessella.operators import faces as faces_
-from tessella.operators import overlap
+from tessella.operators import overlap, planar
 from tessella.operators.borders import edge_attributes
 from tessella.operators.lines import chains, merged_lines
 from tessella.operators.noding import crossings, node, segments_of, whole_lines
@@ -102,3 +103,20 @@ def test_overlaps_of_stacks(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == want
         places = overlap.overlap_counts(df, 2, include_containment=contained).collect()
         assert sum(r.num for r in places) == len(want) and sum(r.num * r.area for r in places) == sum(r[2] for r in want)
+
+
+def test_shared_areas_in_blocks(monkeypatch):
+    """Products in blocks of faces and polygons add up to every pair's faces."""
+    monkeypatch.setattr(planar, "TILE_FACES", 3)
+    monkeypatch.setattr(planar, "BLOCK", 2)
+    lists = [[1, 2, 5], [2, 5, 9], [1, 9], [5], [1, 2, 5, 9], [2, 9], [1, 5]]
+    want: dict = {}
+    for k, pks in enumerate(lists):
+        for i, a in enumerate(pks):
+            for b in pks[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 2**k
+    got: dict = {}
+    for a, b, area in planar.shared_areas(lists, np.array([2.0**k for k in range(len(lists))])):
+        for x, y, s in zip(a.tolist(), b.tolist(), area.tolist(), strict=True):
+            got[x, y] = got.get((x, y), 0) + s
+    assert got == want
